@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontam, exact_dedup, simhash, toxicity
+from millrace.llm import bpe, decontam, exact_dedup, simhash, suffix_dedup, toxicity
 from millrace.llm.common import read_table
 
 
@@ -44,6 +44,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.add(read_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), keep_bytes=False)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -51,7 +59,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op3_decontamination, op4_byte_bpe, op5_toxicity, op6_simhash, op7_exact_dedup]
+    own = [op3_decontamination, op4_byte_bpe, op5_toxicity, op6_simhash, op7_exact_dedup, op8_suffix_dedup]
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 

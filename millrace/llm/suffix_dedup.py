@@ -12,7 +12,8 @@ level; levels of about equal size merge, so there are logarithmically many.
 
 Seeds that occur once are settled. For the others, the windows that share a
 seed are settled as a whole where all their bytes repeat, else in classes of
-``step`` windows, else one by one. Each step counts fingerprints with map-side
+``step`` windows, else one by one; one of each settled group goes on to the next
+step where it may still be the partner of an unsettled one. Each step counts fingerprints with map-side
 combining and joins the counts back, so no task ever holds all occurrences of a
 common passage, and texts that are equal as a whole enter once. Fingerprints
 are 64-bit random linear hashes of the bytes.
@@ -187,10 +188,18 @@ class SuffixLevels:
 
 
 def _mark(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` with n, the number of rows that have the same ``key``."""
+    """``rows`` with n, the number of rows that have the same ``key``, and ``proxy``, true for one of them."""
     rows = cut(rows, f"keyed-{key}")
-    counts = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"counts-{key}")
-    return rows.join(counts, key, "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    own = F.struct("digest", "first")
+    counts = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("least")).where("n > 1"), f"counts-{key}")
+    return rows.join(counts, key, "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("proxy", F.coalesce(own == F.col("least"), F.lit(True))).drop("least")
+
+
+def _unsettled(marked: DataFrame, key: str) -> DataFrame:
+    """Rows of ``marked`` that stand alone, and one row of each settled group that shares ``key`` with such a row."""
+    alone = marked.where("n = 1")
+    partners = marked.where("n > 1 and proxy").join(alone.select(key).distinct(), key, "left_semi")
+    return alone.unionByName(partners.select(*alone.columns))
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED, step: int = STEP, batches: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -206,11 +215,11 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED, st
         return copies, docs.sparkSession.createDataFrame([], "digest binary, first int, last int")
     marked = cut(_mark(entries, "w"), "marked")
     whole = marked.where("n > 1").select("digest", "first", "last")
-    open_ = marked.where("n = 1").groupBy("digest").agg(F.collect_list(F.struct("seed", "first", "last")).alias("open"))
+    open_ = _unsettled(marked, "h").groupBy("digest").agg(F.collect_list(F.struct("seed", "first", "last")).alias("open"))
     contexts = cut(_contexts(_texts(docs).join(cut(open_, "open"), "digest"), length), "contexts")
     classes = cut(_mark(_classes(contexts, length, step), "w"), "classes")
     by_class = classes.where("n > 1").select("digest", "first", "last")
-    rest = _mark(classes.where("n = 1").select("digest", "context", "first", "last", "k"), "k").where("n > 1")
+    rest = _mark(_unsettled(classes, "k").select("digest", "context", "first", "last", "k"), "k").where("n > 1")
     rest = cut(rest.groupBy("digest", "context").agg(F.collect_list(F.struct("first", "last")).alias("open")), "open-classes")
     opened = contexts.select("digest", F.col("first").alias("context"), "bytes").join(rest, ["digest", "context"])
     singles = _mark(_windows(opened, length), "k").where("n > 1")
