@@ -9,10 +9,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontam, exact_dedup, simhash, suffix_dedup, toxicity
+from millrace.llm import bpe, decontam, exact_dedup, secrets, simhash, suffix_dedup, toxicity, url_lists
 from millrace.llm.common import read_table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = secrets.SecretLedger(spark, f"secrets_{uuid.uuid4().hex}")
+    of = lambda *kinds: F.filter("found", lambda s: s["kind"].isin(*kinds))
+    base = [r.kind for r in secrets.BASE_RULES]
+    return ledger.add(read_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(secrets.span_text(of(*base)).cast("binary"), 256).alias("base_sha256"),
+        secrets.span_text(F.col("found")).alias("spans"),
+    )
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontam.store_index(read_table(spark, sf_dir, "documents"))
     return decontam.search(index, read_table(spark, sf_dir, "benchmark")).select(
@@ -52,6 +64,45 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def url_list_entries(pages: DataFrame) -> DataFrame:
+    """A dated history of block and allow entries for the hosts in ``pages``, made from their digests."""
+    hosts = pages.select(url_lists.host_of(F.col("url")).alias("host"), F.element_at(F.concat(url_lists.segments_of(F.col("url")), F.array(F.lit(""))), 1).alias("top")).where("host <> ''").distinct()
+    site = F.regexp_replace("host", "^(www|m|blog)[.]", "")
+    number = lambda c: F.conv(F.substring(F.md5(c.cast("binary")), 1, 4), 16, 10).cast("int")
+    sites = hosts.select(site.alias("pattern")).distinct().withColumn("b", number(F.col("pattern")))
+    tops = hosts.where("top <> ''").select(F.concat_ws("/", "host", "top").alias("pattern")).distinct().withColumn("b", number(F.col("pattern")))
+
+    def entry(of: DataFrame, name: str, kind: str, day: str, action: str, keep: str, seq: int = 1) -> DataFrame:
+        when = F.expr(f"date_add(date'2024-01-01', cast({day} as int))")
+        return of.where(keep).select(F.lit(name).alias("list"), F.lit(kind).alias("kind"), "pattern", when.alias("day"), F.lit(seq).alias("seq"), F.lit(action).alias("action"))
+
+    parts = [entry(*x) for x in ((sites if k == "site" else tops, *rest) for k, *rest in URL_ENTRIES)]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
+#: (patterns, list, kind, days after 2024-01-01, action, condition, seq) of the entries that are made for each pattern with number b.
+URL_ENTRIES = (
+    ("site", "ads", "block", "b % 200", "add", "b % 3 = 0"),
+    ("site", "ads", "block", "b % 200 + 60", "remove", "b % 3 = 0"),
+    ("site", "ads", "block", "b % 200 + 90", "add", "b % 6 = 0"),
+    ("site", "malware", "block", "b % 300", "add", "b % 5 = 1"),
+    ("site", "malware", "block", "b % 300", "remove", "b % 10 = 1", 2),
+    ("site", "trusted", "allow", "b % 250", "add", "b % 4 = 3"),
+    ("top", "paths", "block", "b % 300", "add", "b % 5 = 2"),
+    ("top", "paths", "block", "b % 300 + 30", "remove", "b % 5 = 2"),
+)
+
+
+def op9_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages judged by the entries active on their day; a page's day is made from its id, as ``pages`` has none."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("day", F.expr("date_add(date'2024-01-01', cast(pmod(page_id, 366) as int))"))
+    return url_lists.judge(captures, url_list_entries(pages)).select("page_id", "url", "day", "n_active", F.array_join("lists", ",").alias("lists"), "pattern", "blocked")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -59,12 +110,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op3_decontamination, op4_byte_bpe, op5_toxicity, op6_simhash, op7_exact_dedup, op8_suffix_dedup]
+    own = [op1_secrets, op3_decontamination, op4_byte_bpe, op5_toxicity, op6_simhash, op7_exact_dedup, op8_suffix_dedup, op9_url_lists]
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op1_secrets": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op9_url_lists": OP9_SQL}
 
 
 OP7_SQL = r"""
@@ -81,3 +132,76 @@ SELECT doc_id,
 FROM r
 WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)
 """
+
+
+def _op1_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    kinds = "\nUNION ALL\n".join(
+        f"SELECT doc_id, t, '{r.kind}' AS kind, {i} AS no, {r.least} AS least, string_split_regex(t, {quoted(r.pattern)}) AS gaps, regexp_extract_all(t, {quoted(r.pattern)}) AS hits, regexp_extract_all(t, {quoted(r.pattern)}, {r.group}) AS cores FROM d"
+        for i, r in enumerate(secrets.RULES)
+    )
+    base = ", ".join(f"'{r.kind}'" for r in secrets.BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE_RULES)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({kinds}),
+e AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m),
+s AS (
+    SELECT doc_id, kind, no, hits[i] AS hit,
+           list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS b
+    FROM e WHERE length(cores[i]) >= least
+),
+x AS (SELECT doc_id, kind, no, b, kind || ':' || b::BIGINT || ':' || (b + length(hit))::BIGINT AS span FROM s),
+g AS (
+    SELECT doc_id, {counts},
+           string_agg(span, ',' ORDER BY b, no) FILTER (kind IN ({base})) AS base_spans,
+           string_agg(span, ',' ORDER BY b, no) AS spans
+    FROM x GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+
+OP1_SQL = _op1_sql()
+
+
+def _op9_sql() -> str:
+    entries = "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS list, '{kind}' AS kind, pattern, DATE '2024-01-01' + CAST({day} AS INTEGER) AS day, {(more or [1])[0]} AS seq, '{action}' AS action FROM {of}s WHERE {keep}"
+        for of, name, kind, day, action, keep, *more in URL_ENTRIES
+    )
+    return f"""
+WITH u AS (
+    SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS day,
+           lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host,
+           list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*/([^?#]*)', 1), '/'), lambda s: s <> '') AS parts
+    FROM pages
+),
+sites AS (SELECT DISTINCT regexp_replace(host, '^(www|m|blog)[.]', '') AS pattern, ('0x' || substr(md5(regexp_replace(host, '^(www|m|blog)[.]', '')), 1, 4))::INTEGER AS b FROM u),
+tops AS (SELECT DISTINCT host || '/' || parts[1] AS pattern, ('0x' || substr(md5(host || '/' || parts[1]), 1, 4))::INTEGER AS b FROM u WHERE len(parts) > 0),
+entries AS ({entries}),
+daily AS (SELECT list, kind, pattern, day, arg_max(action, seq) AS action FROM entries GROUP BY ALL),
+changes AS (SELECT *, lag(action) OVER w AS before FROM daily WINDOW w AS (PARTITION BY list, kind, pattern ORDER BY day)),
+spans AS (
+    SELECT list, kind, pattern, action, day AS b, lead(day) OVER (PARTITION BY list, kind, pattern ORDER BY day) AS e
+    FROM changes WHERE before IS NULL OR before <> action
+),
+hits AS (
+    SELECT u.page_id, s.list, s.kind, s.pattern
+    FROM u JOIN spans s ON s.action = 'add' AND u.day >= s.b AND (s.e IS NULL OR u.day < s.e)
+     AND (u.host = s.pattern OR suffix(u.host, '.' || s.pattern) OR u.host || '/' || parts[1] = s.pattern)
+),
+verdicts AS (
+    SELECT page_id, count(*) AS n_active, string_agg(DISTINCT list, ',' ORDER BY list) AS lists,
+           first(kind ORDER BY kind, length(pattern) DESC, pattern) AS kind,
+           first(pattern ORDER BY kind, length(pattern) DESC, pattern) AS pattern
+    FROM hits GROUP BY page_id
+)
+SELECT u.page_id, u.url, u.day, coalesce(n_active, 0) AS n_active, coalesce(lists, '') AS lists, v.pattern, coalesce(kind = 'block', false) AS blocked
+FROM u LEFT JOIN verdicts v ON u.page_id = v.page_id
+"""
+
+
+OP9_SQL = _op9_sql()
