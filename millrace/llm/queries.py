@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontam, exact_dedup, secrets, simhash, suffix_dedup, toxicity, url_lists
+from millrace.llm import bpe, decontam, exact_dedup, html_text, secrets, simhash, suffix_dedup, toxicity, url_lists
 from millrace.llm.common import read_table
 
 
@@ -25,6 +25,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontam.store_index(read_table(spark, sf_dir, "documents"))
     return decontam.search(index, read_table(spark, sf_dir, "benchmark")).select(
@@ -110,7 +114,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_secrets, op3_decontamination, op4_byte_bpe, op5_toxicity, op6_simhash, op7_exact_dedup, op8_suffix_dedup, op9_url_lists]
+    own = [op1_secrets, op2_html_text, op3_decontamination, op4_byte_bpe, op5_toxicity, op6_simhash, op7_exact_dedup, op8_suffix_dedup, op9_url_lists]
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
