@@ -13,6 +13,9 @@ WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
 
+#: Byte table: ASCII letters in lower case, all else as it is.
+LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
 _own_root: list[str] = []
 
 
@@ -53,3 +56,8 @@ def text_or_empty(column: str = "text") -> Column:
 def word_tokens(text: bytes) -> list[bytes]:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of UTF-8 text in ASCII lower case."""
     return text.translate(WORD_BYTES).split()
+
+
+def lower_words(text: bytes) -> list[bytes]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 text in ASCII lower case."""
+    return text.translate(LOWER_BYTES).split()

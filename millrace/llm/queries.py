@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontam, exact_dedup, html_text, secrets, simhash, suffix_dedup, toxicity, url_lists
+from millrace.llm import bpe, decontam, exact_dedup, html_text, mixing, secrets, simhash, suffix_dedup, toxicity, url_lists
 from millrace.llm.common import read_table
 
 
@@ -107,6 +107,10 @@ def op9_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.judge(captures, url_list_entries(pages)).select("page_id", "url", "day", "n_active", F.array_join("lists", ",").alias("lists"), "pattern", "blocked")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -114,7 +118,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_secrets, op2_html_text, op3_decontamination, op4_byte_bpe, op5_toxicity, op6_simhash, op7_exact_dedup, op8_suffix_dedup, op9_url_lists]
+    own = [op1_secrets, op2_html_text, op3_decontamination, op4_byte_bpe, op5_toxicity, op6_simhash, op7_exact_dedup, op8_suffix_dedup, op9_url_lists, op10_mixing]
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 

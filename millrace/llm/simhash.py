@@ -27,16 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, text_or_empty
+from millrace.llm.common import cut, lower_words, text_or_empty
 
 BITS = 64
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 NO_ID = (1 << 63) - 1
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     """The SimHash of a text: a bit is set if it is in over half of the shingles' hashes."""
-    words = text.translate(LOWER).split()
+    words = lower_words(text)
     if not words:
         return 0
     line, n = b" ".join(words), max(1, len(words) - shingle + 1)
