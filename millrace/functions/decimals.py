@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DecimalType
 
 KIND = "decimal(36,18)"
 _WIDE = Context(prec=110, rounding=ROUND_DOWN)
@@ -69,12 +70,12 @@ def _cut(x: Decimal | None) -> Decimal | None:
     return x if abs(x) < _LIMIT else None
 
 
-@pandas_udf(KIND)
+@pandas_udf(DecimalType(36, 18))
 def _product(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else _cut(_WIDE.multiply(x, y)) for x, y in zip(a, b, strict=True)], dtype=object)
 
 
-@pandas_udf(KIND)
+@pandas_udf(DecimalType(36, 18))
 def _quotient(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None or y == 0 else _cut(_WIDE.divide(x, y)) for x, y in zip(a, b, strict=True)], dtype=object)
 

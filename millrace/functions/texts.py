@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType, IntegerType, StringType
 
 
 def replace_first(text: Column, pattern: str, to: str) -> Column:
@@ -60,18 +61,18 @@ def to_bool(text: Column, strict: bool = False) -> Column:
     return F.when(low.isin("1", "y", "yes", "true"), F.lit(True)).otherwise(false)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def base32(raw: pd.Series) -> pd.Series:
     """Bytes in base 32 without padding."""
     return raw.map(lambda x: None if x is None else base64.b32encode(bytes(x)).decode().rstrip("="))
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def unbase32(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else base64.b32decode(x.upper() + "=" * (-len(x) % 8)))
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def width(text: pd.Series) -> pd.Series:
     """Columns that the text takes on a terminal: wide characters two, combining ones none."""
 

@@ -13,19 +13,35 @@ def trailing(order: Sequence[str], rows: int, keys: Sequence[str] = ()):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - rows, 0)
 
 
+def moments(value: Column, exact: bool, over=None) -> dict[str, Column]:
+    """Total, mean and population variance; from whole sums, so free of rounding before the last division, if ``exact``."""
+    on = (lambda c: c.over(over)) if over is not None else (lambda c: c)
+    n = on(F.count(value))
+    if not exact:
+        return {"total": on(F.sum(value)), "mean": on(F.avg(value)), "var": on(F.var_pop(value))}
+    whole = value.cast("decimal(18,0)")
+    total, squares = on(F.sum(whole)), on(F.sum(whole * whole))
+    spread = n.cast("decimal(10,0)") * squares.cast("decimal(28,0)") - total.cast("decimal(19,0)") * total.cast("decimal(19,0)")
+    return {"total": total.cast("double"), "mean": total.cast("double") / n, "var": spread.cast("double") / (n * n)}
+
+
+def _is_whole(df: DataFrame, value: str) -> bool:
+    return df.schema[value].dataType.typeName() in ("byte", "short", "integer", "long")
+
+
 def rolling_stats(df: DataFrame, value: str, order: Sequence[str], rows: int, keys: Sequence[str] = (), digits: int | None = None) -> DataFrame:
-    """Adds n, total, mean, var, std (of the population), low and high of the trailing rows; nought for no values."""
+    """Adds n, total, mean, var, std (of the population), low and high of the trailing rows; nought for no values.
+
+    Fixed-point values, as whole mantissas, give exact sums.
+    """
     w = trailing(order, rows, keys)
-    shown = lambda c: F.round(c, digits) if digits is not None else c
-    return df.select(
-        "*",
-        F.count(value).over(w).alias("n"),
-        shown(F.coalesce(F.sum(value).over(w), F.lit(0.0))).alias("total"),
-        shown(F.coalesce(F.avg(value).over(w), F.lit(0.0))).alias("mean"),
-        shown(F.coalesce(F.var_pop(value).over(w), F.lit(0.0))).alias("var"),
-        shown(F.coalesce(F.stddev_pop(value).over(w), F.lit(0.0))).alias("std"),
-        F.coalesce(F.min(value).over(w), F.lit(float("nan"))).alias("low"),
-        F.coalesce(F.max(value).over(w), F.lit(float("nan"))).alias("high"),
+    shown = lambda c: F.round(F.coalesce(c, F.lit(0.0)), digits) if digits is not None else F.coalesce(c, F.lit(0.0))
+    m = moments(F.col(value), _is_whole(df, value), w)
+    found = df.select("*", F.count(value).over(w).alias("n"), *[c.alias(f"_{k}") for k, c in m.items()], F.min(value).over(w).alias("_low"), F.max(value).over(w).alias("_high"))
+    nan = F.lit(float("nan"))
+    return found.select(
+        *df.columns, "n", shown(F.col("_total")).alias("total"), shown(F.col("_mean")).alias("mean"), shown(F.col("_var")).alias("var"), shown(F.sqrt("_var")).alias("std"),
+        F.coalesce(F.col("_low").cast("double"), nan).alias("low"), F.coalesce(F.col("_high").cast("double"), nan).alias("high"),
     )
 
 

@@ -65,7 +65,7 @@ def event_time(df: DataFrame, order: str, heartbeat: str, nsec: str, keys: Seque
 def timers(df: DataFrame, at: str, step: int, keys: Sequence[str] = ()) -> DataFrame:
     """(key, fires_at): the multiples of ``step`` that event time passes, from the first row to the last."""
     span = df.groupBy(*keys).agg((F.floor(F.min(at) / step) + 1).alias("_from"), F.floor(F.max(at) / step).alias("_to"))
-    return span.where(F.col("_from") <= F.col("_to")).select(*keys, (F.explode(F.sequence("_from", "_to")) * step).alias("fires_at"))
+    return span.where(F.col("_from") <= F.col("_to")).select(*keys, F.explode(F.sequence("_from", "_to")).alias("_tick")).select(*keys, (F.col("_tick") * step).alias("fires_at"))
 
 
 def paced(df: DataFrame, at: str, speed: float, interval: int, begin: int | None = None) -> DataFrame:

@@ -33,13 +33,16 @@ def events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, user_id, count(c) OVER w AS n, sum(c) OVER w AS total, round(avg(c) OVER w, 6) AS mean,
-       round(var_pop(c) OVER w, 6) AS var, round(stddev_pop(c) OVER w, 6) AS std, min(c) OVER w AS low, max(c) OVER w AS high
-FROM (SELECT *, round(value * 100) AS c FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
+WITH m AS (
+    SELECT event_id, user_id, count(c) OVER w AS n, sum(c) OVER w AS s, sum(c * c) OVER w AS q, min(c) OVER w AS low, max(c) OVER w AS high
+    FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS c FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)
+)
+SELECT event_id, user_id, n, s::DOUBLE AS total, s::DOUBLE / n AS mean, (n * q - s * s)::DOUBLE / (n * n) AS var, sqrt((n * q - s * s)::DOUBLE / (n * n)) AS std, low::DOUBLE AS low, high::DOUBLE AS high
+FROM m""")
 def rolling_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trailing statistics of each user's last ten values, in cents."""
-    rows = events(spark, sf_dir, "event_id", "user_id", "ts", F.col("cents").cast("double").alias("c"))
-    return rolling.rolling_stats(rows, "c", ["ts", "event_id"], 10, ["user_id"], digits=6).drop("ts", "c")
+    rows = events(spark, sf_dir, "event_id", "user_id", "ts", "cents")
+    return rolling.rolling_stats(rows, "cents", ["ts", "event_id"], 10, ["user_id"]).drop("ts", "cents")
 
 
 @query("""

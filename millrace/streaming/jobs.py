@@ -27,7 +27,7 @@ def deduped(stream: DataFrame, at: str, keys: Sequence[str], late: str = "1 hour
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def upsert(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: str) -> None:
+def upsert(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: str, mode: str = "append") -> None:
     """Keeps in ``path`` each key's last row; a batch that runs again writes the same folder again.
 
     Every batch writes its last rows per key into a folder of its own number, so
@@ -39,7 +39,7 @@ def upsert(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], o
         last = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_x")).select(*keys, "_x.*")
         last.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def current(spark: SparkSession, path: str, keys: Sequence[str], order: str) -> DataFrame:
