@@ -158,7 +158,8 @@ class SuffixLevels:
     def _write(self, entries: DataFrame) -> tuple[int, DataFrame]:
         path = shared_path(self.spark, "level")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        entries.repartition(parts, "h").sortWithinPartitions("h").write.option("compression", "zstd").parquet(path)
+        # by range of h, then of the place, so that a passage which a third of all texts share is dealt over many tasks
+        entries.repartitionByRange(parts, "h", "digest", "first").sortWithinPartitions("h", "digest", "first").write.option("compression", "zstd").parquet(path)
         table = self.spark.read.schema(entries.schema).parquet(path)
         return table.count(), table
 
