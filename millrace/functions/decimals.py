@@ -31,9 +31,7 @@ def parse(text: Column) -> Column:
 
 def text(value: Column) -> Column:
     """A decimal without needless zeros; null prints as NaN."""
-    plain = value.cast(KIND).cast("string")
-    plain = F.when(plain.contains("E"), F.format_number(value, "0.##################")).otherwise(plain)
-    return F.coalesce(F.regexp_replace(F.regexp_replace(plain, r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""), F.lit("NaN"))
+    return F.coalesce(F.call_function("format_number", value.cast(KIND), F.lit("0.##################")), F.lit("NaN"))
 
 
 def grouped(value: Column, ndp: int) -> Column:
@@ -131,11 +129,8 @@ def total(value: Column) -> Column:
 
 
 def mean(value: Column) -> Column:
-    """The mean over rows as DECIMAL(38,22) cut to 18 places; null for none."""
-    exact = F.avg(value.cast(KIND))
-    near = F.round(F.abs(exact), 18)
-    cut = F.when(near > F.abs(exact), near - F.lit(Decimal(1).scaleb(-18)).cast(KIND)).otherwise(near)
-    return (F.signum(exact).cast("int") * cut).cast(KIND)
+    """The mean over rows cut to 18 places; null for none."""
+    return divide(F.sum(value.cast(KIND)), F.count(value))
 
 
 # -- fixed point: a whole mantissa and its number of places

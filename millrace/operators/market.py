@@ -154,7 +154,7 @@ def live_orders(events: DataFrame, keys: Sequence[str] = BOOK, seq: str = "seq")
     marked = known.withColumn("_set", F.sum(sets.cast("int")).over(life))
     folded = marked.groupBy(*order, "_life", "_set").agg(
         F.max(F.when(sets, F.col("qty"))).alias("_qty"), F.coalesce(F.sum(F.when(F.col("op") == "reduce", F.col("qty"))), F.lit(0)).alias("_off"),
-        F.max_by("price", F.when(F.col("price").isNotNull(), F.col(seq))).alias("_price"), F.min(F.when(F.col("op") == "add", F.col(seq))).alias("_since"), F.max((F.col("op") == "cancel").cast("int")).alias("_gone"), F.max_by("rank", F.when(F.col("rank").isNotNull(), F.col(seq))).alias("_rank"),
+        F.max_by("price", F.when(F.col("op").isin("add", "modify") & F.col("price").isNotNull(), F.col(seq))).alias("_price"), F.min(F.when(F.col("op") == "add", F.col(seq))).alias("_since"), F.max((F.col("op") == "cancel").cast("int")).alias("_gone"), F.max_by("rank", F.when(F.col("rank").isNotNull(), F.col(seq))).alias("_rank"),
     )
     last = folded.groupBy(*order, "_life").agg(
         F.max_by(F.struct("_qty", "_off", "_gone"), "_set").alias("_last"), F.max_by("_price", F.when(F.col("_price").isNotNull(), F.col("_set"))).alias("price"), F.max("_since").alias("since"), F.max_by("_rank", F.when(F.col("_rank").isNotNull(), F.col("_set"))).alias("rank"),

@@ -27,7 +27,7 @@ def _next(s: Column, e: Column) -> Column:
     cum = s["cum"] + F.when(is_("fill"), F.coalesce(e["qty"], F.lit(0.0))).otherwise(0.0)
     value = s["value"] + F.when(is_("fill"), F.coalesce(e["qty"] * e["px"], F.lit(0.0))).otherwise(0.0)
     # an acknowledgement is implied by what can only follow one
-    implied = is_("ordered", "modified", "canceled", "fill") & new.isin(HELD, QUEUED, SENT)
+    implied = (is_("ordered", "canceled", "fill") | (is_("modified") & open_mod)) & new.isin(HELD, QUEUED, SENT)
     may_modify = is_("modify") & new.isin(HELD, QUEUED, SENT, ACKED) & ~open_mod & ~open_cxl
     may_cancel = is_("cancel") & new.isin(SENT, QUEUED, ACKED, HELD) & ~open_cxl
     # a modify that the venue confirms before its fills waits for them
