@@ -80,13 +80,13 @@ def select_keys(df: DataFrame, key: KeySpec, *args, **kwargs) -> DataFrame:
 def top_per_group(df: DataFrame, key: KeySpec, n: int = 1) -> DataFrame:
     """The first ``n`` rows of every group, with their place.
 
-    Each group's candidates are cut down before the shuffle where ``n`` is 1.
+    With one row wanted and one ordering column it is an aggregate, so each task
+    sends one row of a group.
     """
-    if n == 1 and not (set(key.order_columns) & key.descending) - {key.order_columns[0]}:
-        order = F.struct(*[F.col(c) for c in key.order_columns], F.struct(*df.columns).alias("_row"))
-        pick = F.max(order) if key.order_columns[0] in key.descending and len(key.order_columns) == 1 else F.min(order)
-        if len(key.order_columns) == 1 or not key.descending:
-            return df.groupBy(*key.group_columns).agg(pick.alias("_best")).select("_best._row.*").withColumn("place", F.lit(1))
+    if n == 1 and len(key.order_columns) == 1:
+        row = F.struct(F.col(key.order_columns[0]), F.struct(*df.columns).alias("_row"))
+        best = F.max(row) if key.descending else F.min(row)
+        return df.groupBy(*key.group_columns).agg(best.alias("_best")).select("_best._row.*").withColumn("place", F.lit(1))
     numbered = df.withColumn("place", F.row_number().over(Window.partitionBy(*key.group_columns).orderBy(*_ordering(key))))
     return numbered.where(F.col("place") <= n)
 
