@@ -249,3 +249,28 @@ def trades(events: DataFrame, keys: Sequence[str] = BOOK, seq: str = "seq") -> D
     row = F.struct(*[c for c in events.columns if c not in (*keys, "trade_id")])
     last = events.groupBy(*keys, "trade_id").agg(F.max_by(row, seq).alias("_x"))
     return last.select(*keys, "trade_id", "_x.*").where("op <> 'cancel'")
+
+
+# -- what users ask for by name
+
+
+def lookup(
+    instruments: DataFrame, symbols: Sequence[str] = (), source: str | None = None, venue: str | None = None, segment: str | None = None,
+    maturity: int | None = None, put_call: str | None = None, strike: float | None = None,
+) -> DataFrame:
+    """Instruments by symbol (all for none), each option that is given narrowing them; every option reaches the scan."""
+    found = instruments.where(F.col("symbol").isin(*symbols)) if symbols else instruments
+    for column, value in (("source", source), ("venue", venue), ("segment", segment), ("maturity", maturity), ("put_call", put_call), ("strike", strike)):
+        if value is not None:
+            found = found.where(F.col(column) == value)
+    return found
+
+
+def quotes(state: DataFrame, instruments: DataFrame, keys: Sequence[str] = BOOK) -> DataFrame:
+    """The state (level one, or levels) of the books of the instruments asked for, with their symbols."""
+    return state.join(instruments.select(*keys, "symbol").distinct(), list(keys))
+
+
+def sessions(events: DataFrame, keys: Sequence[str] = ("venue", "segment"), order: str = "seq") -> DataFrame:
+    """Each venue's and segment's present trading session."""
+    return events.groupBy(*keys).agg(F.max_by("session", order).alias("session"), F.max(order).alias("since"))

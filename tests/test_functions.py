@@ -85,3 +85,11 @@ def test_text(spark):
     names = {"Flag1": 0, "Flag2": 1, "P": 2}
     assert one(spark, texts.flag_names(t(5), names), texts.flag_value(t("P|Flag1|?"), names), texts.enum_value(t("Buy"), {"Buy": 0, "B": 0}), texts.enum_name(t(0), {"Buy": 0, "B": 0}), texts.enum_value(t("x"), {"Buy": 0})) == ("Flag1|P", 5, 0, "Buy", None)
     assert one(spark, texts.venue_flags(t("V"), t(2), {"V": {"a": 0, "b": 1}}), texts.venue_flags(t("W"), t(2), {"V": {"a": 0}})) == ("V:b", None)
+
+
+def test_functions_in_sql(spark):
+    from millrace.functions import sql
+
+    sql.register(spark)
+    row = spark.sql("SELECT decimal_multiply(CAST(1.5 AS DECIMAL(36, 18)), CAST(3 AS DECIMAL(36, 18))) AS p, decimal_divide(CAST(1 AS DECIMAL(36, 18)), CAST(3 AS DECIMAL(36, 18))) AS q, display_width('a字') AS w, base32(CAST('f' AS BINARY)) AS b").first()
+    assert tuple(row) == (Decimal("4.5"), Decimal("0.333333333333333333"), 3, "MY")

@@ -198,3 +198,12 @@ def test_stores(spark, tmp_path):
         store.write(spec, spark.range(3))
         store.write(spec, spark.range(3, 5))
         assert sorted(r.id for r in store.read(spec).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_instruments_by_name(spark):
+    rows = spark.createDataFrame([("A", "V", "x", 1, None, 1), ("A", "W", "x", 1, "P", 2), ("B", "V", "y", 2, None, 3)], "symbol string, venue string, segment string, maturity int, put_call string, book int")
+    assert [market.lookup(rows, *a, **k).count() for a, k in (((["A"],), {}), ((), {}), ((["A", "B"],), {"venue": "V"}), ((["A"],), {"put_call": "P", "maturity": 1}), ((["C"],), {}))] == [2, 3, 2, 1, 0]
+    levels = spark.createDataFrame([(1, "B", 5, 10), (3, "S", 6, 1), (9, "S", 7, 1)], "book int, side string, price int, qty int")
+    assert {(r.symbol, r.price) for r in market.quotes(levels, market.lookup(rows, ["A"])).collect()} == {("A", 5)}
+    states = spark.createDataFrame([("V", "x", "open", 1), ("V", "x", "closed", 5), ("V", "y", "open", 2)], "venue string, segment string, session string, seq int")
+    assert {(r.segment, r.session) for r in market.sessions(states).collect()} == {("x", "closed"), ("y", "open")}
