@@ -39,7 +39,7 @@ class DigestIndex:
         """The same rows without the bucketing, so that a join may split a hot digest."""
         return self.spark.read.schema(self.read().schema).parquet(*self.read().inputFiles())
 
-    def add(self, docs: DataFrame) -> DataFrame:
+    def add(self, docs: DataFrame, row: str | None = None) -> DataFrame:
         """Dedups ``docs`` (doc_id, text) within itself and against the index, then appends.
 
         Returns one row per row of ``docs``: doc_id, keep_id, group_size, kept,
@@ -48,27 +48,32 @@ class DigestIndex:
         and group_size adds the copies that the text had when it was appended.
         Null texts count as empty, so they equal texts of white space alone. A
         null doc_id loses against any other. Rows that repeat both doc_id and
-        text are all marked as the row that stays. Other columns of ``docs``
-        are not read; an empty table gives no rows.
+        text are all marked as the row that stays, unless ``row`` names a column
+        with a key of its own for each row: then the one with the smallest key is
+        marked alone, and the key is returned too. Other columns of ``docs`` are
+        not read; an empty table gives no rows.
         """
+        own = [] if row is None else [row]
         rows = cut(
             docs.select(
                 F.col("doc_id"),
                 F.sha2(normalised().cast("binary"), 256).alias("digest"),
                 F.length(text_or_empty()).cast("long").alias("points"),
+                *own,
             ),
             "digests",
         )
         groups = cut(
             rows.groupBy("digest").agg(
-                F.max(F.struct(F.col("points"), (-F.col("doc_id")).alias("rank"), F.col("doc_id"))).alias("best"),
+                F.max(F.struct(F.col("points"), (-F.col("doc_id")).alias("rank"), *[(-F.col(c)).alias("row_rank") for c in own], F.col("doc_id"))).alias("best"),
                 F.count(F.lit(1)).alias("copies"),
-            ).select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.points").alias("keep_points"), "copies"),
+            ).select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.points").alias("keep_points"), "copies", *[(-F.col("best.row_rank")).alias("keep_row") for _ in own]),
             "groups",
         )
         known = self._plain().hint("merge") if self.exists() else None
         fresh = groups if known is None else groups.join(known, "digest", "left_anti")
-        sizes = groups.select("digest", "keep_id", "keep_points", "copies", F.lit(True).alias("fresh"))
+        keep_row = ["keep_row" for _ in own]
+        sizes = groups.select("digest", "keep_id", "keep_points", "copies", F.lit(True).alias("fresh"), *keep_row)
         if known is not None:
             old = known.select("digest", F.col("keep_id").alias("old_id"), F.col("copies").alias("old_copies"))
             sizes = cut(
@@ -78,18 +83,21 @@ class DigestIndex:
                     "keep_points",
                     (F.col("copies") + F.coalesce("old_copies", F.lit(0))).alias("copies"),
                     F.col("old_copies").isNull().alias("fresh"),
+                    *keep_row,
                 ),
                 "sizes",
             )
         (
-            fresh.repartition(self.buckets, "digest")
+            fresh.drop("keep_row").repartition(self.buckets, "digest")
             .write.bucketBy(self.buckets, "digest").sortBy("digest")
             .mode("append").format("parquet").saveAsTable(self.table)
         )
+        best = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points")) if row is None else F.col(row) == F.col("keep_row")
         return rows.join(sizes, "digest", "left").select(
             "doc_id",
             "keep_id",
             F.col("copies").alias("group_size"),
-            (F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points"))).alias("kept"),
+            (F.col("fresh") & best).alias("kept"),
             F.col("digest").alias("text_sha256"),
+            *own,
         )

@@ -49,16 +49,17 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(counts > half, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row; null texts count as empty."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+def fingerprints(docs: DataFrame, shingle: int = 3, row: str | None = None) -> DataFrame:
+    """doc_id, the column ``row`` if one is named, and fp (the fingerprint as a signed long) of every row; null texts count as empty."""
+    passed = ["doc_id"] if row is None else ["doc_id", row]
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in passed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column("raw")), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), pa.array(fps.view(np.int64))], [*passed, "fp"])
 
-    return docs.select("doc_id", text_or_empty().cast("binary").alias("raw")).mapInArrow(run, f"doc_id {id_type}, fp long")
+    return docs.select(*passed, text_or_empty().cast("binary").alias("raw")).mapInArrow(run, f"{kinds}, fp long")
 
 
 class VantageTree:
@@ -231,24 +232,32 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"no fixed point after {rounds} rounds")
 
 
-def near_dups(docs: DataFrame, reach: int = 3, shingle: int = 3, leaf: int = 512) -> DataFrame:
+def near_dups(docs: DataFrame, reach: int = 3, shingle: int = 3, leaf: int = 512, row: str | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs`` (doc_id, text).
 
     Fingerprints that differ in at most ``reach`` bits are linked; component_id
     is the smallest doc_id in the connected component. Texts without words,
     null and empty ones too, have fingerprint zero and link like any other.
     Rows that repeat give repeated rows. A null doc_id counts as larger than
-    any other. Other columns are not read; an empty table gives no rows.
+    any other. ``row`` names a column with a key of its own for each row; it is
+    returned too, with kept, which marks one row of each component: that of the
+    smallest doc_id, then of the smallest key. Other columns are not read; an
+    empty table gives no rows.
     """
-    rows = cut(fingerprints(docs, shingle), "fingerprints")
-    nodes = cut(rows.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).cast("long").alias("first_id")), "distinct-fingerprints")
+    first = F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("first_id")
+    own = [] if row is None else [F.col(row).alias("first_row")]
+    names = ["first_id", *("first_row" for _ in own)]
+    rows = cut(fingerprints(docs, shingle, row), "fingerprints")
+    nodes = cut(rows.groupBy("fp").agg(F.min(F.struct(first, *own)).alias("least")).select("fp", *[f"least.{c}" for c in names]), "distinct-fingerprints")
     edges = cut(links(nodes.select("fp"), reach, leaf), "links")
-    named = lambda c: nodes.select(F.col("fp").alias(c), F.struct(F.col("first_id"), F.col("fp")).alias(f"{c}_node"))
+    named = lambda c: nodes.select(F.col("fp").alias(c), F.struct(*names, "fp").alias(f"{c}_node"))
     edges = edges.join(named("a"), "a").join(named("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    comps = components(edges).select(F.col("node.fp").alias("fp"), F.col("root.first_id").alias("root_id"))
-    ids = cut(nodes.join(comps, "fp", "left").select("fp", F.coalesce("root_id", "first_id").alias("component_id")), "components")
+    comps = components(edges).select(F.col("node.fp").alias("fp"), F.struct(*[F.col(f"root.{c}") for c in names]).alias("root"))
+    roots = nodes.join(comps, "fp", "left").select("fp", F.coalesce("root", F.struct(*names)).alias("root"))
+    ids = cut(roots.select("fp", F.col("root.first_id").alias("component_id"), *[F.col("root.first_row") for _ in own]), "components")
     return rows.join(ids, "fp", "left").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"),
+        *([] if row is None else [F.col(row), (F.col(row) == F.col("first_row")).alias("kept")]),
     )

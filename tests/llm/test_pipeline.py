@@ -67,3 +67,28 @@ def test_stages_keep_the_columns_and_take_awkward_rows(spark, documents):
         assert {r.doc_id for r in got.collect()} == want[name], name
         assert name == "byte_bpe" or got.columns == documents.columns
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_stages_judge_rows_and_not_ids(spark):
+    """Null, repeated and shared ids: each row has a verdict of its own, and one row of a group of copies stays."""
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.fit(documents, spark.read.parquet(f"{SF}/labels.parquet"))
+    toxic = max((r.text or "" for r in documents.collect()), key=model.score)
+    leak = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect() if len(r.text.split()) >= 20)
+    other = "one more text of quite other words about a garden in the rain"
+
+    def run(stage, rows):
+        docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], COLUMNS)
+        return sorted(r.source for r in stage(spark, docs, SF).collect())
+
+    own = [(None, "plain words", "a"), (1, other, "c"), (1, other, "d")]
+    assert run(corpus_pipeline.drop_contaminated, [*own, (1, leak, "e"), (None, leak, "f")]) == ["a", "c", "d"]
+    # the stage is fitted on the rows that it is given, so the table's own rows come too
+    table = [(r.doc_id, r.text, "") for r in documents.collect()]
+    extra = [(None, "plain words", "a"), (-1, other, "c"), (-1, other, "d"), (-1, toxic, "e"), (None, toxic, "f")]
+    assert [s for s in run(corpus_pipeline.drop_toxic, table + extra) if s] == ["a", "c", "d"]
+    for stage in (corpus_pipeline.drop_exact_copies, corpus_pipeline.drop_near_copies):
+        assert run(stage, own)[0] == "a" and len(run(stage, own)) == 2
+        assert run(stage, [(7, other, "x"), (7, leak, "y"), (5, leak, "z")]) == ["x", "z"]
+        assert len(run(stage, [(None, other, "x"), (None, other, "y")])) == 1
+        assert run(stage, [(None, other, "x"), (3, other, "y")]) == ["y"]
