@@ -240,12 +240,7 @@ def main_text(html: str) -> Page:
         for n in range(1, len(nodes)):
             within[n] = within[n] or within[nodes[n].parent]
         inside = {i for i, x in enumerate(lines) if live[i] and within[x.node]}
-        of_region = sorted(i for i in inside if content[i])
-        first, last = of_region[0], of_region[-1]
-        # headings may stand before the first cluster
-        while first - 1 in inside and nodes[lines[first - 1].node].tag in ("h1", "h2", "h3"):
-            first -= 1
-        kept = [i for i in sorted(inside) if first <= i <= last and (content[i] or lines[i].link_chars <= 0.5 * len(lines[i].text))]
+        kept = sorted(inside)
     return Page("\n".join(lines[i].text for i in kept), found, kept, len(lines))
 
 

@@ -48,6 +48,25 @@ def test_layouts(name, frame):
     assert main_text(frame.format(LAYOUTS[name])).text == TEXT
 
 
+PARTS = [
+    ("<p>{}</p>", "In brief."),
+    *(("<p>{}</p>", f"Long paragraph number {i} with enough words in it to stand out from what is around it, and more.") for i in range(5)),
+    ("<p><a href='/a'>{}</a></p>", "A paragraph that is one link"),
+    ("<ul><li>{}</li></ul>", "An item"),
+    ("<pre>{}</pre>", "x = 1"),
+    ("<table><tr><td>{}</td></tr></table>", "A cell"),
+    *(("<p>{}</p>", x) for x in ("One.", "Two.", "Three.")),
+    *(("<ol><li><a href='/r'>{}</a></li></ol>", f"Reference {i}") for i in range(3)),
+]
+
+
+@pytest.mark.parametrize("parts", [PARTS, PARTS[1:6] + PARTS[-6:-3], PARTS[:6] + PARTS[-3:]])
+def test_a_region_without_article_element_gives_all_its_lines(parts):
+    body = "".join(frame.format(text) for frame, text in parts)
+    page = f"<html><body><div>{MENU}</div><div>{body}</div><div class='footer'>All rights reserved</div></body></html>"
+    assert main_text(page).text == "\n".join(text for _, text in parts)
+
+
 AWKWARD = ["", " \n", "<![foo bar]>x", "<!DOCTYPE [<!ELEMENT", "<?php echo ?>hi", "</", '<a b="', "&#xFFFFFFFFFF;&#0;&am", "<script>abc", "plain text", "<>", "<title>t", "<!--" * 50_000, "<" * 100_000, "<div>a " * 20_000, "<p>a " * 20_000, "w " * 500_000]
 
 
