@@ -47,6 +47,12 @@ def keys_of(url: Column, depth: int) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, paths)))
 
 
+def folded(pattern: Column) -> Column:
+    """The pattern with its host in lower case; a path keeps its case."""
+    host = F.regexp_extract(pattern, "^[^/]*", 0)
+    return F.concat(F.lower(host), F.substring(pattern, F.length(host) + 1, F.length(pattern)))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, kind, pattern, begin, end) of the days from which and before which each pattern was listed.
 
@@ -57,7 +63,7 @@ def intervals(entries: DataFrame) -> DataFrame:
     """
     daily = (
         entries.where("pattern is not null and day is not null and action in ('add', 'remove')")
-        .groupBy("list", "kind", F.lower("pattern").alias("pattern"), F.to_date("day").alias("day"))
+        .groupBy("list", "kind", folded(F.col("pattern")).alias("pattern"), F.to_date("day").alias("day"))
         .agg(F.max(F.struct("seq", "action"))["action"].alias("action"))
     )
     own = Window.partitionBy("list", "kind", "pattern").orderBy("day")

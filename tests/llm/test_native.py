@@ -97,3 +97,12 @@ def test_url_lists(spark):
     assert got == Counter(want + [(i, 0, "", None, False) for i in (9, 10, 11, 12, 13)] + [(14, *ads)])
     assert url_lists.judge(captures, listed.limit(0)).where("n_active > 0").count() == 0
     assert url_lists.judge(captures.limit(0), listed).count() == 0
+
+
+def test_paths_keep_their_case(spark):
+    listed = entries(spark, [("paths", "block", "B.org/News", (1, 1), 1, "add"), ("more", "block", "b.org/a/B\nc", (1, 1), 1, "add")])
+    rows = [(1, "http://b.org/News/1"), (2, "http://B.ORG/News"), (3, "http://b.org/news/1"), (4, "http://b.org/a/B\nc/d"), (5, "http://b.org/A/B\nc")]
+    captures = spark.createDataFrame([(i, u, date(2024, 1, 5)) for i, u in rows], "id int, url string, day date")
+    got = {r.id: (r.pattern, r.blocked) for r in url_lists.judge(captures, listed).collect()}
+    news, more, none = ("b.org/News", True), ("b.org/a/B\nc", True), (None, False)
+    assert got == {1: news, 2: news, 3: none, 4: more, 5: none}
