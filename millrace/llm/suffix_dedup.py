@@ -5,9 +5,9 @@ cannot miss: the window's seed is the place, in it, where the fingerprint of
 ``seed`` bytes is least (the first such place). Equal windows have equal seeds
 at equal offsets, so a repeated window always meets another suffix with the
 same first ``seed`` bytes. A batch's suffix array holds one entry for each seed,
-in the order of its fingerprint rather than of its bytes: equal prefixes stand
-together all the same, and an entry takes 8 bytes instead of hundreds. A new
-batch is merge-scanned against every existing level, then becomes the lowest
+in the order of its first three bytes, then of its fingerprint: equal prefixes
+stand together all the same, and an entry takes 8 bytes instead of hundreds. A
+new batch is merge-scanned against every existing level, then becomes the lowest
 level; levels of about equal size merge, so there are logarithmically many.
 
 Seeds that occur once are settled. For the others, the windows that share a
@@ -16,7 +16,9 @@ seed are settled as a whole where all their bytes repeat, else in classes of
 step where it may still be the partner of an unsettled one. Each step counts fingerprints with map-side
 combining and joins the counts back, so no task ever holds all occurrences of a
 common passage, and texts that are equal as a whole enter once. Fingerprints
-are 64-bit random linear hashes of the bytes.
+are 64-bit random linear hashes of the bytes. What is removed has matched twice,
+by the fingerprint of the bytes that a group shares and by that of all its
+bytes, so a chance match needs two texts that already share a hundred bytes.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import cut, shared_path, text_or_empty
 
 LENGTH, SEED, STEP = 400, 100, 25
+#: Shares of the batches in which a table is indexed; each is over twice the next, so that several levels stand.
+BATCHES = (11, 4, 1)
 CHUNK = 1 << 16
 #: Constants of the splitmix64 generator, which makes the hashes' random numbers.
 SPLITMIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -100,11 +104,17 @@ def tagged(h: np.ndarray, *numbers: np.ndarray) -> np.ndarray:
     return h
 
 
+def ordered(data: np.ndarray, place: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The key of the suffixes at ``place``: three bytes, then 40 bits of ``h``; in order as signed numbers."""
+    head = sum(data[place + k].astype(np.uint64) << np.uint64(56 - 8 * k) for k in range(3))
+    return (head ^ np.uint64(1 << 63)) | (h >> np.uint64(24))
+
+
 def entries_of(raw: bytes, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, ...]:
     """(h, w, seed, first, last) of the sparse suffixes of ``raw``.
 
     The windows that begin at first..last have their seed at ``seed``; h is the
-    seed's fingerprint, w that of all bytes of those windows.
+    seed's key, w the fingerprint of all bytes of those windows.
     """
     data, found = np.frombuffer(raw, np.uint8), []
     for begin in range(0, len(data) - length + 1, CHUNK):
@@ -116,7 +126,7 @@ def entries_of(raw: bytes, length: int = LENGTH, seed: int = SEED) -> tuple[np.n
         last = np.append(first[1:], len(at)) - 1
         place = at[first].astype(np.int64)
         w = tagged(hashed.of(first, last + length), place - first, last - first)
-        found.append((h[place], w, place + begin, first + begin, last + begin))
+        found.append((ordered(part, place, h[place]), w, place + begin, first + begin, last + begin))
     if not found:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -188,12 +198,12 @@ class SuffixLevels:
         return None if found is None else found.join(self.repeated, "h", "left_semi")
 
 
-def _mark(rows: DataFrame, key: str) -> DataFrame:
+def _mark(rows: DataFrame, *key: str) -> DataFrame:
     """``rows`` with n, the number of rows that have the same ``key``, and ``proxy``, true for one of them."""
-    rows = cut(rows, f"keyed-{key}")
+    rows = cut(rows, f"keyed-{key[-1]}")
     own = F.struct("digest", "first")
-    counts = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("least")).where("n > 1"), f"counts-{key}")
-    return rows.join(counts, key, "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("proxy", F.coalesce(own == F.col("least"), F.lit(True))).drop("least")
+    counts = cut(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("least")).where("n > 1"), f"counts-{key[-1]}")
+    return rows.join(counts, list(key), "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("proxy", F.coalesce(own == F.col("least"), F.lit(True))).drop("least")
 
 
 def _unsettled(marked: DataFrame, key: str) -> DataFrame:
@@ -203,28 +213,37 @@ def _unsettled(marked: DataFrame, key: str) -> DataFrame:
     return alone.unionByName(partners.select(*alone.columns))
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED, step: int = STEP, batches: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(texts, runs): texts has digest and copies; runs has digest and first..last, the begins of windows that occur elsewhere in another or the same text."""
+def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED, step: int = STEP, batches: tuple[int, ...] = BATCHES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts, runs, shared).
+
+    texts has digest and copies; runs has digest and first..last, the begins of
+    windows that occur elsewhere in another or the same text; shared has digest
+    and n_shared, the number of its suffixes whose first ``seed`` bytes do.
+    ``batches`` are the shares of the batches in which the texts are indexed.
+    """
     texts = text_entries(docs, length, seed)
-    index = SuffixLevels(docs.sparkSession)
-    for i in range(batches):
-        own = texts.where(F.pmod(F.crc32("digest"), F.lit(batches)) == i)
+    index, place, low = SuffixLevels(docs.sparkSession), F.pmod(F.crc32("digest"), F.lit(sum(batches))), 0
+    for share in batches:
+        own = texts.where((place >= low) & (place < low + share))
         index.add(own.select("digest", F.explode("entries").alias("e")).select("e.h", "digest", "e.w", "e.seed", "e.first", "e.last"))
+        low += share
     copies = texts.select("digest", "copies")
     entries = index.entries()
     if entries is None:
-        return copies, docs.sparkSession.createDataFrame([], "digest binary, first int, last int")
-    marked = cut(_mark(entries, "w"), "marked")
+        spark = docs.sparkSession
+        return copies, spark.createDataFrame([], "digest binary, first int, last int"), spark.createDataFrame([], "digest binary, n_shared long")
+    marked = cut(_mark(entries, "h", "w"), "marked")
+    shared = marked.groupBy("digest").agg(F.count(F.lit(1)).alias("n_shared"))
     whole = marked.where("n > 1").select("digest", "first", "last")
     open_ = _unsettled(marked, "h").groupBy("digest").agg(F.collect_list(F.struct("seed", "first", "last")).alias("open"))
     contexts = cut(_contexts(_texts(docs).join(cut(open_, "open"), "digest"), length), "contexts")
-    classes = cut(_mark(_classes(contexts, length, step), "w"), "classes")
+    classes = cut(_mark(_classes(contexts, length, step), "k", "w"), "classes")
     by_class = classes.where("n > 1").select("digest", "first", "last")
     rest = _mark(_unsettled(classes, "k").select("digest", "context", "first", "last", "k"), "k").where("n > 1")
     rest = cut(rest.groupBy("digest", "context").agg(F.collect_list(F.struct("first", "last")).alias("open")), "open-classes")
     opened = contexts.select("digest", F.col("first").alias("context"), "bytes").join(rest, ["digest", "context"])
-    singles = _mark(_windows(opened, length), "k").where("n > 1")
-    return copies, whole.unionByName(by_class).unionByName(singles.select("digest", "first", F.col("first").alias("last")))
+    singles = _mark(_windows(opened, length), "half", "k").where("n > 1")
+    return copies, whole.unionByName(by_class).unionByName(singles.select("digest", "first", F.col("first").alias("last"))), shared
 
 
 def _contexts(texts: DataFrame, length: int) -> DataFrame:
@@ -278,45 +297,51 @@ def _classes(contexts: DataFrame, length: int, step: int) -> DataFrame:
 
 
 def _windows(opened: DataFrame, length: int) -> DataFrame:
-    """The single windows of the open classes of each context; k is the fingerprint of a window."""
+    """The single windows of the open classes of each context; k is the fingerprint of a window, half that of its first half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, firsts, ks = [], [], []
+            digests, firsts, ks, halves = [], [], [], []
             for digest, context, raw, classes in zip(*(batch.column(c).to_pylist() for c in ("digest", "context", "bytes", "open")), strict=True):
-                k = Hashed(np.frombuffer(raw, np.uint8)).all(length)
+                hashed = Hashed(np.frombuffer(raw, np.uint8))
+                k, half = hashed.all(length), hashed.all(length // 2)
                 at = np.unique(np.concatenate([np.arange(c["first"], c["last"] + 1) for c in classes]))
                 digests += [digest] * len(at)
                 firsts.append(at)
                 ks.append(k[at - context].view(np.int64))
+                halves.append(half[at - context].view(np.int64))
             if digests:
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.concatenate(firsts).astype(np.int32)), pa.array(np.concatenate(ks))], ["digest", "first", "k"])
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.concatenate(firsts).astype(np.int32)), *(pa.array(np.concatenate(x)) for x in (ks, halves))], ["digest", "first", "k", "half"])
 
-    return opened.select("digest", "context", "bytes", "open").mapInArrow(run, "digest binary, first int, k long")
+    return opened.select("digest", "context", "bytes", "open").mapInArrow(run, "digest binary, first int, k long, half long")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, step: int = STEP, keep_bytes: bool = True, batches: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, step: int = STEP, keep_bytes: bool = True, batches: tuple[int, ...] = BATCHES) -> DataFrame:
     """Removes each byte covered by a string of ``length`` bytes that also begins anywhere else.
 
     Returns per row of ``docs`` (doc_id, text): doc_id, n_bytes, spans (begin
     and end of the removed runs), kept (the remaining bytes, null unless
-    ``keep_bytes``) and kept_sha256. Null texts count as empty; texts shorter
+    ``keep_bytes``), kept_sha256 and n_shared, the number of the text's sampled
+    suffixes whose first ``seed`` bytes also begin elsewhere (1 at least for a
+    copied text of that length): it tells of passages too short to be removed. Null texts count as empty; texts shorter
     than ``length`` lose nothing; rows that repeat a text of ``length`` bytes or
     more lose all of it. Null and repeated doc_ids pass through, other columns
     are not read, an empty table gives no rows.
     """
-    texts, runs = repeated_windows(docs, length, seed, step, batches)
+    texts, runs, shared = repeated_windows(docs, length, seed, step, batches)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     grouped = runs.groupBy("digest").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    found = cut(texts.where("copies > 1").join(grouped, "digest", "full_outer").select("digest", (F.coalesce("copies", F.lit(1)) > 1).alias("copied"), "runs"), "found")
+    copied = texts.where("copies > 1").join(shared, "digest", "full_outer").join(grouped, "digest", "full_outer")
+    found = cut(copied.select("digest", (F.coalesce("copies", F.lit(1)) > 1).alias("copied"), "runs", "n_shared"), "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for begin in range(0, whole.num_rows, 512):
                 batch = whole.slice(begin, 512)
-                sizes, spans, kept, hashes = [], [], [], []
-                for raw, copied, windows in zip(batch.column("raw"), batch.column("copied"), batch.column("runs"), strict=True):
+                sizes, shares, spans, kept, hashes = [], [], [], [], []
+                for raw, copied, windows, n_shared in zip(*(batch.column(c) for c in ("raw", "copied", "runs", "n_shared")), strict=True):
                     raw = raw.as_py()
+                    shares.append(max(n_shared.as_py() or 0, int(bool(copied.as_py()) and len(raw) >= seed)))
                     cuts: list[list[int]] = []
                     if copied.as_py() and len(raw) >= length:
                         cuts = [[0, len(raw)]]
@@ -333,9 +358,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, step
                     kept.append(rest if keep_bytes else None)
                     hashes.append(hashlib.sha256(rest).hexdigest())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary()), pa.array(hashes, pa.string())],
-                    ["doc_id", "n_bytes", "spans", "kept", "kept_sha256"],
+                    [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(shares, pa.int64()), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary()), pa.array(hashes, pa.string())],
+                    ["doc_id", "n_bytes", "n_shared", "spans", "kept", "kept_sha256"],
                 )
 
-    rows = _texts(docs, "doc_id").join(found, "digest", "left").select("doc_id", "raw", "copied", "runs")
-    return rows.mapInArrow(run, f"doc_id {id_type}, n_bytes long, spans array<struct<begin:int,end:int>>, kept binary, kept_sha256 string")
+    rows = _texts(docs, "doc_id").join(found, "digest", "left").select("doc_id", "raw", "copied", "runs", "n_shared")
+    return rows.mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_shared long, spans array<struct<begin:int,end:int>>, kept binary, kept_sha256 string")

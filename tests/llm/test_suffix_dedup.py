@@ -41,7 +41,7 @@ def test_query_against_brute_force(spark):
     assert any(k[2] for k in got)
 
 
-@pytest.mark.parametrize("batches", [1, 3])
+@pytest.mark.parametrize("batches", [(1,), (1, 1, 1), (4, 1)])
 def test_overlaps_shifts_and_awkward_rows(spark, batches):
     rng = np.random.default_rng(3)
     word = lambda n: "".join(rng.choice(list("abcdé"), n))
@@ -56,6 +56,32 @@ def test_overlaps_shifts_and_awkward_rows(spark, batches):
         assert bytes(r.kept) == b"".join(bytes([x]) for at, x in enumerate(raw) if not any(s.begin <= at < s.end for s in r.spans))
 
 
+def test_passages_under_the_length_are_told(spark):
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    passage = word(390)
+    rows = [(1, word(900) + passage + word(900)), (2, word(700) + passage + word(800)), (3, word(2000)), (4, word(120)), (5, None)]
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows + [(6, rows[3][1])], DOCS)).collect()}
+    assert not any(r.spans for r in got.values())
+    assert {i for i, r in got.items() if r.n_shared} == {1, 2, 4, 6}
+
+
+def test_keys_stand_in_the_order_of_their_first_bytes():
+    raw = bytes(np.random.default_rng(7).integers(0, 256, 5000).astype(np.uint8))
+    h, _, seed, _, _ = suffix_dedup.entries_of(raw)
+    heads = [raw[seed[i] : seed[i] + 3] for i in np.argsort(h.view(np.int64))]
+    assert heads == sorted(heads) and len(heads) > 20
+
+
+def test_levels_stand_and_merge_by_size(spark):
+    rows = spark.range(1600).selectExpr("id * 7919 as h", "unhex(md5(cast(cast(id as string) as binary))) as digest", "id as w", "0 as seed", "0 as first", "0 as last")
+    index = suffix_dedup.SuffixLevels(spark)
+    for low, high, sizes in ((0, 1000, [1000]), (1000, 1400, [1000, 400]), (1400, 1500, [1000, 400, 100]), (1500, 1600, [1000, 400, 200]), (0, 1, [1000, 400, 200, 1])):
+        index.add(rows.where(f"w >= {low} and w < {high}"))
+        assert [n for n, _ in index.levels] == sizes
+    assert [r.h for r in index.entries().collect()] == [0, 0]
+
+
 def test_no_rows(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
     assert suffix_dedup.remove_repeats(spark.createDataFrame([(1, "a")], DOCS)).count() == 1
