@@ -18,23 +18,19 @@ BOOK = ("book",)
 # -- reference data
 
 
-def bands(ticks: DataFrame, prices: DataFrame, price: str, table: str = "tbl", width: float = 64.0) -> DataFrame:
+def bands(ticks: DataFrame, prices: DataFrame, price: str, table: str = "tbl") -> DataFrame:
     """``prices`` with the tick size of the band that holds each price, both ends included; the lowest of several.
 
-    Bands are dealt into price cells of ``width``, so prices meet bands by
-    equality of table and cell and no price is compared with every band. A band
-    without an upper end is cut at the highest price.
+    A table's bands are one sorted row of reference data, so prices meet them by
+    equality of the table, and the band is found within the row. A band without
+    an upper end has no limit. A null price, or one that no band holds, has no
+    tick size.
     """
-    highest = prices.agg(F.max(price)).first()[0]
-    if highest is None:
-        return prices.withColumn("tick_size", F.lit(None).cast(ticks.schema["tick_size"].dataType))
-    cell = lambda c: F.floor(c / width)
-    top = F.least(F.coalesce(F.col("max_price"), F.lit(highest)), F.lit(highest))
-    dealt = ticks.where(F.col("min_price") <= top).withColumn("_cell", F.explode(F.sequence(cell(F.col("min_price")), cell(top)))).withColumnRenamed(table, "_tbl")
-    rows = prices.withColumn("_id", F.monotonically_increasing_id()).withColumn("_at", cell(F.col(price)))
-    inside = (F.col("min_price") <= F.col(price)) & (F.col("max_price").isNull() | (F.col(price) <= F.col("max_price")))
-    hit = rows.join(dealt, (rows[table] == dealt["_tbl"]) & (rows["_at"] == dealt["_cell"]) & inside, "left")
-    return hit.groupBy("_id").agg(F.first(F.struct(*prices.columns)).alias("_row"), F.min_by("tick_size", "min_price").alias("tick_size")).select("_row.*", "tick_size")
+    band = F.struct("min_price", "max_price", "tick_size")
+    own = ticks.where("min_price is not null").groupBy(F.col(table).alias("_tbl")).agg(F.array_sort(F.collect_list(band)).alias("_bands"))
+    holds = lambda b: (F.col(price) >= b["min_price"]) & (b["max_price"].isNull() | (F.col(price) <= b["max_price"]))
+    found = prices.join(own, prices[table] == own["_tbl"], "left")
+    return found.select(*prices.columns, F.try_element_at(F.filter("_bands", holds), F.lit(1))["tick_size"].alias("tick_size"))
 
 
 def by_any_name(rows: DataFrame, named: DataFrame, probe: str, names: Sequence[str]) -> DataFrame:
@@ -138,29 +134,34 @@ def live_orders(events: DataFrame, keys: Sequence[str] = BOOK, seq: str = "seq")
     ``op`` is add, modify, reduce, cancel or reset. An add or modify sets price
     and quantity, a null keeping the old one; a reduce takes its quantity off; a
     quantity of nought or less, or a cancel, removes; a reset removes all that
-    came before it in the book. A modify or reduce of an unknown order is left
-    out.
+    came before it in the book. What follows a removal is about an unknown order
+    until an add with a quantity, and is left out. An add of a live order changes
+    it and keeps its place in time.
     """
     book = list(keys)
     resets = events.where("op = 'reset'").groupBy(*book).agg(F.max(seq).alias("_reset"))
     since = events.where("op <> 'reset'").join(resets, book, "left").where(F.col("_reset").isNull() | (F.col(seq) > F.col("_reset"))).drop("_reset")
-    order = [*book, "side", "order_id"]
-    w = Window.partitionBy(*order).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    # a new life begins with an add after a cancel; within one, values carry forward
-    lives = since.withColumn("_life", F.sum((F.col("op") == "cancel").cast("int")).over(w) - (F.col("op") == "cancel").cast("int"))
-    life = Window.partitionBy(*order, "_life").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    known = lives.withColumn("_known", F.max((F.col("op") == "add").cast("int")).over(life)).where("_known = 1")
-    sets = F.col("op").isin("add", "modify") & F.col("qty").isNotNull()
-    marked = known.withColumn("_set", F.sum(sets.cast("int")).over(life))
-    folded = marked.groupBy(*order, "_life", "_set").agg(
-        F.max(F.when(sets, F.col("qty"))).alias("_qty"), F.coalesce(F.sum(F.when(F.col("op") == "reduce", F.col("qty"))), F.lit(0)).alias("_off"),
-        F.max_by("price", F.when(F.col("op").isin("add", "modify") & F.col("price").isNotNull(), F.col(seq))).alias("_price"), F.min(F.when(F.col("op") == "add", F.col(seq))).alias("_since"), F.max((F.col("op") == "cancel").cast("int")).alias("_gone"), F.max_by("rank", F.when(F.col("rank").isNotNull(), F.col(seq))).alias("_rank"),
-    )
-    last = folded.groupBy(*order, "_life").agg(
-        F.max_by(F.struct("_qty", "_off", "_gone"), "_set").alias("_last"), F.max_by("_price", F.when(F.col("_price").isNotNull(), F.col("_set"))).alias("price"), F.max("_since").alias("since"), F.max_by("_rank", F.when(F.col("_rank").isNotNull(), F.col("_set"))).alias("rank"),
-    )
-    newest = last.groupBy(*order).agg(F.max_by(F.struct("_last", "price", "since", "rank"), "_life").alias("_x")).select(*order, "_x.*")
-    return newest.withColumn("qty", F.col("_last._qty") - F.col("_last._off")).where("_last._gone = 0 and qty > 0").drop("_last")
+    order, upto = [*book, "side", "order_id"], (Window.unboundedPreceding, 0)
+    begins = (F.col("op") == "add") & F.col("qty").isNotNull()
+    sets = F.col("op").isin("add", "modify")
+    # an epoch begins with an add; up to its first removal nothing in it depends on what was removed before
+    epochs = since.withColumn("_epoch", F.sum(begins.cast("int")).over(Window.partitionBy(*order).orderBy(seq).rowsBetween(*upto))).where("_epoch > 0")
+    own = [*order, "_epoch"]
+    parts = epochs.withColumn("_part", F.sum((sets & F.col("qty").isNotNull()).cast("int")).over(Window.partitionBy(*own).orderBy(seq).rowsBetween(*upto)))
+    walk = Window.partitionBy(*own, "_part").orderBy(seq).rowsBetween(*upto)
+    off = F.coalesce(F.sum(F.when(F.col("op") == "reduce", F.col("qty"))).over(walk), F.lit(0))
+    held = parts.withColumn("_held", F.first(F.when(sets, F.col("qty")), ignorenulls=True).over(walk) - off)
+    gone = held.withColumn("_gone", F.min(F.when((F.col("op") == "cancel") | (F.col("_held") <= 0), F.col(seq))).over(Window.partitionBy(*own)))
+    live = gone.where(F.col("_gone").isNull() | (F.col(seq) < F.col("_gone")) | (F.col(seq) == F.col("_gone")) & (F.col("op") == "add"))
+    last = lambda c: F.max_by(c, F.when(sets & F.col(c).isNotNull(), F.col(seq))).alias(c)
+    ends = live.groupBy(*own).agg(F.max_by("_held", seq).alias("qty"), last("price"), last("rank"), F.min(F.when(begins, F.col(seq))).alias("since"), F.max(F.col("_gone").isNotNull()).alias("_gone"))
+    # a life goes on over the epochs until one is removed
+    before = F.lag("_gone").over(Window.partitionBy(*order).orderBy("_epoch"))
+    lives = ends.withColumn("_new", F.coalesce(before, F.lit(True)).cast("int")).withColumn("_life", F.sum("_new").over(Window.partitionBy(*order).orderBy("_epoch").rowsBetween(*upto)))
+    carried = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_epoch"))).alias(c)
+    whole = lives.groupBy(*order, "_life").agg(carried("price"), F.max_by("qty", "_epoch").alias("qty"), F.min("since").alias("since"), carried("rank"), F.max_by("_gone", "_epoch").alias("_gone"))
+    newest = whole.groupBy(*order).agg(F.max_by(F.struct("price", "since", "rank", "qty", "_gone"), "_life").alias("_x"))
+    return newest.where("not _x._gone").select(*order, "_x.price", "_x.since", "_x.rank", "_x.qty")
 
 
 def levels(orders: DataFrame, keys: Sequence[str] = BOOK) -> DataFrame:
@@ -227,20 +228,50 @@ def match_qty(book: DataFrame, price: float, keys: Sequence[str] = BOOK) -> Data
     return book.groupBy(*keys, "side").agg(F.coalesce(F.sum(F.when(good | F.col("price").isNull(), F.col("qty"))), F.lit(0)).alias("match_qty"))
 
 
-def match(orders: DataFrame, aggressors: DataFrame, keys: Sequence[str] = BOOK) -> tuple[DataFrame, DataFrame]:
-    """(fills, leaves) of one aggressive order per book against its resting orders, by price, then time.
+def match(orders: DataFrame, aggressors: DataFrame, keys: Sequence[str] = BOOK, seq: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(fills, leaves) of aggressive orders against their books' resting orders, by price, then time.
 
     An aggressor (side, qty, price; a null price is a market order) takes from
-    the other side what is at its price or better; ``left`` is what it lacks.
+    the other side what is at its price or better; ``left`` is what it lacks and
+    does not rest. Those of a book take turns by ``seq``, which the fills then
+    name as well; without it the one that reaches further comes first. As each
+    takes the best that is left, what a side has lost is always the front of its
+    queue, so a turn needs its length alone.
     """
-    taker = aggressors.select(*keys, F.when(F.col("side") == "B", "S").otherwise("B").alias("side"), F.col("qty").alias("_want"), F.col("price").alias("_limit"))
-    ok = F.col("_limit").isNull() | F.col("price").isNull() | F.when(F.col("side") == "B", F.col("price") >= F.col("_limit")).otherwise(F.col("price") <= F.col("_limit"))
-    resting = orders.join(taker, [*keys, "side"]).where(ok)
-    summed = _cumulated(resting, keys, [F.col("rank").asc_nulls_last(), F.col("since")])
-    taken = F.greatest(F.lit(0), F.least(F.col("qty"), F.col("_want") - (F.col("_cum") - F.col("qty"))))
-    fills = summed.withColumn("fill", taken).where("fill > 0").select(*keys, "side", "order_id", "price", "fill", (F.col("qty") - F.col("fill")).alias("rest"))
-    filled = fills.groupBy(*keys).agg(F.sum("fill").alias("_filled"))
-    leaves = aggressors.join(filled, list(keys), "left").select(*aggressors.columns, (F.col("qty") - F.coalesce("_filled", F.lit(0))).alias("left"))
+    at = [*keys, "side"]
+    reach = F.when(F.col("price").isNull(), float("inf")).otherwise(F.when(F.col("side") == "B", F.col("price")).otherwise(-F.col("price")).cast("double"))
+    turn = F.struct(*([F.col(seq).alias("t")] if seq else [(-reach).alias("t")]), (-F.col("qty")).alias("less"), F.col("price").alias("limit"), F.col("side").alias("from"))
+    takers = aggressors.select(*keys, F.when(F.col("side") == "B", "S").otherwise("B").alias("side"), turn.alias("turn"))
+    summed = _cumulated(orders, keys, [F.col("rank").asc_nulls_last(), F.col("since")])
+    side = summed.groupBy(*at, "price").agg(F.max("_cum").alias("_cum")).groupBy(*at).agg(F.collect_list(F.struct("price", "_cum")).alias("_depth"))
+    turns = takers.groupBy(*at).agg(F.array_sort(F.collect_list("turn")).alias("_turns")).join(side, at, "left")
+    # of a side's levels those that a limit reaches
+    good = lambda limit: lambda x: limit.isNull() | x["price"].isNull() | F.when(F.col("side") == "B", x["price"] >= limit).otherwise(x["price"] <= limit)
+    within = lambda limit: F.coalesce(F.array_max(F.transform(F.filter("_depth", good(limit)), lambda x: x["_cum"])), F.lit(0))
+
+    def take(acc: Column, t: Column) -> Column:
+        end = F.greatest(acc["end"], F.least(acc["end"] - t["less"], within(t["limit"]))).cast("double")
+        return F.struct(end.alias("end"), F.concat(acc["ends"], F.array(end)).alias("ends"))
+
+    start = F.struct(F.lit(0.0).alias("end"), F.array().cast("array<double>").alias("ends"))
+    done = turns.withColumn("_ends", F.aggregate("_turns", start, take)["ends"]).select(*at, F.posexplode(F.arrays_zip("_turns", "_ends")).alias("_n", "_z"))
+    begin = F.coalesce(F.lag("_z._ends").over(Window.partitionBy(*at).orderBy("_n")), F.lit(0.0))
+    kind = orders.schema["qty"].dataType
+    took = done.select(*at, "_n", F.col("_z._turns").alias("_turn"), F.col("_z._ends").alias("_end"), (F.col("_z._ends") - begin).alias("_took"))
+    # the queue's and the turns' ends cut the queue; each cut goes to the order and the turn that end next
+    rows = F.struct("order_id", "price", "qty", F.col("_cum").alias("cum"))
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
+    queue = summed.select(*at, F.col("_cum").cast("double").alias("_end"), rows.alias("_row"))
+    taken = took.where("_took > 0").select(*at, "_end", F.struct("_turn").alias("_taker"))
+    cuts = queue.withColumn("_taker", none(taken, "_taker")).unionByName(taken.withColumn("_row", none(queue, "_row")))
+    next_ = Window.partitionBy(*at).orderBy("_end").rangeBetween(0, Window.unboundedFollowing)
+    size = F.col("_end") - F.coalesce(F.lag("_end").over(Window.partitionBy(*at).orderBy("_end")), F.lit(0.0))
+    found = cuts.select(*at, F.first("_row", ignorenulls=True).over(next_).alias("_row"), F.first("_taker", ignorenulls=True).over(next_).alias("_taker"), F.col("_end"), size.alias("_size"))
+    fill = found.where("_size > 0 and _taker is not null and _row is not null")
+    fills = fill.select(
+        *at, "_row.order_id", "_row.price", F.col("_size").cast(kind).alias("fill"), (F.col("_row.cum") - F.col("_end")).cast(kind).alias("rest"), *([F.col("_taker._turn.t").alias(seq)] if seq else [])
+    )
+    leaves = took.select(*keys, F.col("_turn.from").alias("side"), (-F.col("_turn.less")).alias("qty"), F.col("_turn.limit").alias("price"), *([F.col("_turn.t").alias(seq)] if seq else []), (-F.col("_turn.less") - F.col("_took")).cast(kind).alias("left"))
     return fills, leaves
 
 

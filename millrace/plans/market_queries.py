@@ -166,9 +166,23 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (
+    SELECT user_id AS book, CASE event_type WHEN 'click' THEN 'add' WHEN 'view' THEN 'modify' WHEN 'purchase' THEN 'reduce' WHEN 'signup' THEN CASE WHEN event_id % 5 = 0 THEN 'reset' ELSE 'add' END ELSE 'cancel' END AS op,
+           CASE WHEN event_id % 2 = 0 THEN 'B' ELSE 'S' END AS side, event_id % 6 AS order_id, CASE WHEN event_id % 4 <> 0 THEN event_id % 13 END AS price,
+           CASE WHEN NOT (event_type = 'view' AND event_id % 3 = 0) THEN event_id % 30 + 1 END AS qty, event_id AS seq FROM events),
+r AS (SELECT book, max(seq) AS reset FROM e WHERE op = 'reset' GROUP BY book),
+s AS (SELECT e.*, row_number() OVER (PARTITION BY e.book, side, order_id ORDER BY seq) AS n FROM e LEFT JOIN r ON e.book = r.book WHERE op <> 'reset' AND (reset IS NULL OR seq > reset)),
+f AS (
+    SELECT DISTINCT book, side, order_id, 0::BIGINT AS n, NULL::BIGINT AS qty, NULL::BIGINT AS price, NULL::BIGINT AS since FROM s
+    UNION ALL
+    SELECT book, side, order_id, n, CASE WHEN q > 0 THEN q END, CASE WHEN q > 0 THEN p END, CASE WHEN q > 0 THEN t END FROM (
+        SELECT s.book, s.side, s.order_id, s.n, CASE s.op WHEN 'reduce' THEN f.qty - s.qty WHEN 'modify' THEN CASE WHEN f.qty IS NOT NULL THEN coalesce(s.qty, f.qty) END WHEN 'add' THEN coalesce(s.qty, f.qty) END AS q,
+               CASE WHEN s.op IN ('add', 'modify') THEN coalesce(s.price, f.price) ELSE f.price END AS p, coalesce(f.since, s.seq) AS t
+        FROM f JOIN s ON f.book = s.book AND f.side = s.side AND f.order_id = s.order_id AND s.n = f.n + 1))
+SELECT book, side, order_id, price, qty, since FROM (SELECT *, row_number() OVER (PARTITION BY book, side, order_id ORDER BY n DESC) AS place FROM f) WHERE place = 1 AND qty IS NOT NULL""")
 def live_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders left in the books; the tests fold the same messages one by one."""
+    """Orders left in the books; the SQL folds the same messages one by one."""
     return market.live_orders(order_events(spark, sf_dir)).select("book", "side", "order_id", "price", "qty", "since")
 
 

@@ -7,7 +7,8 @@ from collections.abc import Iterator, Mapping, Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -172,16 +173,27 @@ def latest(snapshots: DataFrame, keys: Sequence[str], at: str = "snapshot_ts") -
 
 
 def write_alerts(alerts: DataFrame, path: str, at: str = "ts") -> None:
-    """Alerts by day, numbered within each from 0."""
-    numbered_by_day(alerts, at).write.mode("append").partitionBy("yyyymmdd").parquet(path)
+    """Appends alerts by day, numbered within each from 0 or on from the day's last number in ``path``."""
+    spark, numbered = alerts.sparkSession, numbered_by_day(alerts, at)
+    days = [r[0] for r in numbered.select("yyyymmdd").distinct().collect()]  # as many as the days of a batch
+    try:
+        old = spark.read.parquet(path).where(F.col("yyyymmdd").isin(days)).groupBy("yyyymmdd").agg((F.max("seq_no") + 1).alias("_next"))
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    else:
+        numbered = numbered.join(old, "yyyymmdd", "left").withColumn("seq_no", F.col("seq_no") + F.coalesce("_next", F.lit(0))).drop("_next")
+    numbered.write.mode("append").partitionBy("yyyymmdd").parquet(path)
 
 
 def numbered_by_day(alerts: DataFrame, at: str = "ts") -> DataFrame:
-    from pyspark.sql import Window
-
-    day = alerts.withColumn("yyyymmdd", F.date_format(at, "yyyyMMdd").cast("int"))
+    """``alerts`` with yyyymmdd and seq_no, from 0 within each day; a day is numbered hour by hour, so no task sees all of it."""
     rest = [c for c in alerts.columns if c != at]
-    return day.withColumn("seq_no", F.row_number().over(Window.partitionBy("yyyymmdd").orderBy(at, *rest)) - 1)
+    day = alerts.withColumns({"yyyymmdd": F.date_format(at, "yyyyMMdd").cast("int"), "_hour": F.hour(at)})
+    before = F.sum("_n").over(Window.partitionBy("yyyymmdd").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1))
+    hours = day.groupBy("yyyymmdd", "_hour").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy("yyyymmdd", "_hour").orderBy(at, *rest)) - 1
+    return day.withColumn("seq_no", own).join(hours, ["yyyymmdd", "_hour"]).withColumn("seq_no", (F.col("seq_no") + F.col("_before")).cast("int")).drop("_hour", "_before")
 
 
 def recent_alerts(spark: SparkSession, path: str, day: int) -> DataFrame:

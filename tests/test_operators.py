@@ -114,16 +114,82 @@ def test_live_orders_against_a_fold(spark):
             book.pop(at, None)
         elif e.op == "reduce":
             if at in book:
-                book[at][1] = (book[at][1] or 0) - e.qty
-        elif e.op == "add" or at in book:
+                book[at][1] -= e.qty
+        elif (e.op == "add" and e.qty is not None) or at in book:
             old = book.get(at)
-            book[at] = [e.price if e.price is not None or old is None else old[0], e.qty if e.qty is not None or old is None else old[1]]
-    want = sorted((b, s, i, p, q) for b, book in books.items() for (s, i), (p, q) in book.items() if q is not None and q > 0)
+            book[at] = [e.price if e.price is not None or old is None else old[0], e.qty if e.qty is not None else old[1]]
+        if at in book and book[at][1] <= 0:
+            del book[at]  # a removed order is unknown to what follows
+    want = sorted((b, s, i, p, q) for b, book in books.items() for (s, i), (p, q) in book.items())
     got = sorted(tuple(r)[:5] for r in market_queries.live_orders(spark, SF).collect())
     key = lambda x: tuple((v is None, v or 0) if not isinstance(v, str) else v for v in x)
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+LIVES = {
+    "reduced to nought": ([("add", 1, 5), ("reduce", None, 5), ("modify", None, 3)], None),
+    "modified to nought": ([("add", 1, 5), ("modify", None, 0), ("modify", None, 4)], None),
+    "reduced below nought": ([("add", 1, 5), ("reduce", None, 9), ("reduce", None, -9)], None),
+    "added again": ([("add", 1, 5), ("reduce", None, 5), ("modify", None, 3), ("add", None, 4)], (None, 4, 3)),
+    "added while live": ([("add", 1, 5), ("add", None, 6), ("reduce", None, 2)], (1, 4, 0)),
+    "added without a quantity": ([("add", 1, None), ("modify", None, 3)], None),
+    "added with nought": ([("add", 1, 5), ("add", 2, 0)], None),
+    "canceled and added": ([("add", 1, 5), ("cancel", None, None), ("add", 2, 7), ("modify", 3, None)], (3, 7, 2)),
+    "modified in between": ([("add", 1, 5), ("modify", 2, 8), ("reduce", None, 3), ("modify", None, None)], (2, 5, 0)),
+    "unknown": ([("modify", 2, 8), ("reduce", None, 3)], None),
+}
+
+
+def test_lives_of_orders(spark):
+    rows = [("b", "B", name, op, price, qty, None, i) for name, (ops, _) in LIVES.items() for i, (op, price, qty) in enumerate(ops)]
+    got = market.live_orders(spark.createDataFrame(rows, "book string, side string, order_id string, op string, price int, qty int, rank int, seq int"))
+    assert {r.order_id: (r.price, r.qty, r.since) for r in got.collect()} == {k: v for k, (_, v) in LIVES.items() if v}
+
+
+def brute_match(resting, takers):
+    queue = sorted(([(p is not None, p if s == "S" else -p) if p is not None else (False, 0), i, s, p, q] for i, (s, p, q) in enumerate(resting)), key=lambda x: x[:2])
+    fills, left = [], []
+    for t, (side, qty, limit) in enumerate(takers):
+        for x in queue:
+            ok = x[2] != side and (limit is None or x[3] is None or (x[3] <= limit if side == "B" else x[3] >= limit))
+            if ok and (n := min(qty, x[4])) > 0:
+                x[4] -= n
+                qty -= n
+                fills.append((x[1], t, n, x[4]))
+        left.append((t, qty))
+    return sorted(fills), sorted(left)
+
+
+def test_match_of_several_aggressors(spark):
+    import random
+
+    draw = random.Random(4)
+    for n in (1, 2, 7, 40):
+        resting = [(draw.choice("BS"), draw.choice([None, *range(5, 15)]), draw.randint(1, 9)) for _ in range(30)]
+        takers = [(draw.choice("BS"), draw.randint(1, 20), draw.choice([None, *range(4, 16)])) for _ in range(n)]
+        orders_ = spark.createDataFrame([("b", s, i, p, q, None, i) for i, (s, p, q) in enumerate(resting)], "book string, side string, order_id int, price int, qty int, rank int, since int")
+        hits = spark.createDataFrame([("b", s, q, p, t) for t, (s, q, p) in enumerate(takers)], "book string, side string, qty int, price int, t int")
+        fills, leaves = market.match(orders_, hits, seq="t")
+        want = brute_match(resting, takers)
+        assert (sorted((r.order_id, r.t, r.fill, r.rest) for r in fills.collect()), sorted((r.t, r.left) for r in leaves.collect())) == want
+    two = spark.createDataFrame([("b", "B", 4, None, 1), ("b", "B", 4, None, 2)], "book string, side string, qty int, price int, t int")
+    fills, leaves = market.match(spark.createDataFrame([("b", "S", 1, 9, 5, None, 1)], orders_.schema), two, seq="t")
+    assert sorted((r.t, r.left) for r in leaves.collect()) == [(1, 0), (2, 3)] and sum(r.fill for r in fills.collect()) == 5
+
+
+def test_alert_numbers_go_on(spark, tmp_path):
+    from datetime import datetime
+
+    path = str(tmp_path / "alerts")
+    write = lambda *at: tables.write_alerts(spark.createDataFrame([(datetime(*a), str(a)) for a in at], "ts timestamp, text string"), path)
+    write((2024, 1, 1, 5), (2024, 1, 1, 5, 1), (2024, 1, 1, 9), (2024, 1, 2, 1))
+    write((2024, 1, 1, 3), (2024, 1, 1, 7), (2024, 1, 3, 1))
+    got = spark.read.parquet(path).orderBy("yyyymmdd", "seq_no").collect()
+    assert [(r.yyyymmdd, r.seq_no) for r in got] == [(20240101, n) for n in range(5)] + [(20240102, 0), (20240103, 0)]
+    assert [r.ts.hour for r in got[:5]] == [5, 5, 9, 3, 7]
+    assert tables.recent_alerts(spark, path, 20240102).count() == 2
+
+
 def test_match_takes_price_then_time(spark):
     resting = spark.createDataFrame([("b", "S", i, p, q, None, i) for i, (p, q) in enumerate([(10, 5), (9, 5), (9, 7), (11, 5), (None, 2)])], "book string, side string, order_id int, price int, qty int, rank int, since int")
     fills, leaves = market.match(resting, spark.createDataFrame([("b", "B", 17, 10)], "book string, side string, qty int, price int"))
@@ -163,6 +229,9 @@ def test_bands_and_hierarchy(spark):
     ticks = spark.createDataFrame([("t", 0.0, 10.0, 0.1), ("t", 10.0, None, 0.5)], "tbl string, min_price double, max_price double, tick_size double")
     prices = spark.createDataFrame([("t", 10.0), ("t", 1e6), ("t", -1.0), ("u", 5.0), ("t", 10.0)], "tbl string, px double")
     assert sorted((r.tbl, r.px, r.tick_size or 0) for r in market.bands(ticks, prices, "px").collect()) == [("t", -1.0, 0), ("t", 10.0, 0.1), ("t", 10.0, 0.1), ("t", 1e6, 0.5), ("u", 5.0, 0)]
+    wide = spark.createDataFrame([("t", 0.0, None, 1.0), ("t", 5.0, 9.0, 2.0), ("t", -3.0, 6.0, 3.0), (None, 0.0, 1.0, 9.0)], ticks.schema)
+    far = spark.createDataFrame([("t", 5e11), ("t", 6.0), ("t", 7.0), ("t", None), (None, 0.5)], prices.schema)
+    assert sorted((r.px or 0, r.tick_size or 0) for r in market.bands(wide, far, "px").collect()) == [(0, 0), (0.5, 0), (6.0, 3.0), (7.0, 1.0), (5e11, 1.0)]
     rows = spark.createDataFrame([("v", "s", "i"), ("v", "s", "j"), ("v", "t", "i"), ("w", "s", "i")], "v string, s string, i string")
     pick = lambda wanted: sorted(map(tuple, market.hierarchical(rows, spark.createDataFrame(wanted, rows.schema), ["v", "s", "i"]).collect()))
     assert pick([("v", "s", None), ("v", "s", "i"), ("w", None, None)]) == [("v", "s", "i"), ("v", "s", "j"), ("w", "s", "i")]
