@@ -1,14 +1,16 @@
 """Toxicity by non-negative positive-unlabelled learning (Kiryo et al., 2017).
 
-Confirmed toxic training texts are the positives, a sample of all training
-texts is the unlabelled set; a linear logistic model over word and word-prefix
-features is fitted with numpy so that it minimises
+Confirmed toxic training texts are the positives; rows of the label table whose
+label is not looked at are the unlabelled set. A linear logistic model over words
+and word prefixes, and those that make up much of a text, is fitted with numpy so
+that it minimises
 
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)).
 
-The class prior is the share of toxic rows among the labelled training rows.
-The sample is bounded by ``positives`` and ``unlabelled`` rows, the features by
-``features``; scoring reads every text whole.
+The class prior is the share of toxic rows among the labelled training rows. The
+decay of the weights is the one of ``DECAYS`` with the least such risk on folds
+of the training rows that a fit has not seen. The sample is bounded by
+``positives`` and ``unlabelled`` rows; scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -20,20 +22,31 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import crc_mod, cut, word_tokens
 
 PREFIXES = (4, 5)
-#: Adam's usual decay rates.
+#: A word or prefix makes up much of a text from two occurrences and one in so many words on.
+MUCH = 200
+#: What the G statistic of a feature that has nothing to do with toxicity exceeds once in a thousand.
+SIGNIFICANT = 10.83
+#: Adam's usual decay rates; decays of the weights to choose from, and the folds to choose by.
 ADAM = (0.9, 0.999)
+DECAYS, FOLDS = (1e-5, 1e-4, 1e-3), 2
 
 
 def doc_features(text: str | None) -> set[bytes]:
-    """Distinct words of a text and their prefixes of 4 and 5 bytes, which end in ``*``."""
-    words = set(word_tokens((text or "").encode()))
-    return words | {w[:n] + b"*" for n in PREFIXES for w in words if len(w) > n}
+    """Distinct words of a text and their prefixes of 4 and 5 bytes, which end in ``*``; once more with ``+`` for those that make up much of it."""
+    words = word_tokens((text or "").encode())
+    counts = Counter(words)
+    for w, c in list(counts.items()):
+        for n in PREFIXES:
+            if len(w) > n:
+                counts[w[:n] + b"*"] += c
+    least = max(2, len(words) / MUCH)
+    return {*counts, *(f + b"+" for f, c in counts.items() if c >= least)}
 
 
 @dataclass
@@ -43,41 +56,94 @@ class ToxicityModel:
 
     def score(self, text: str | None) -> float:
         get = self.weights.get
-        z = self.bias + sum(v for f in doc_features(text) if (v := get(f)) is not None)
+        z = self.bias + math.fsum(v for f in doc_features(text) if (v := get(f)) is not None)
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
-    """Weights and, last, the bias, from feature matrices of positives and unlabelled rows."""
-    w = np.zeros(pos.shape[1] + 1, np.float32)
+@dataclass
+class Rows:
+    """A matrix of noughts and ones: the columns of each row's ones, one row after another."""
+
+    columns: np.ndarray
+    sizes: np.ndarray
+
+    def __post_init__(self):
+        self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.columns], len(self.sizes))
+
+    def back(self, slope: np.ndarray, width: int) -> np.ndarray:
+        return np.bincount(self.columns, slope[self.row], width)
+
+    def some(self, chosen: np.ndarray) -> Rows:
+        return Rows(self.columns[chosen[self.row]], self.sizes[chosen])
+
+
+def risks(w: np.ndarray, pos: Rows, unl: Rows, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """(prior * R+, R- of the unlabelled less the positives' part, probabilities of both sets)."""
+    p_pos, p_unl = (np.clip(1 / (1 + np.exp(-np.clip(x.dot(w) + w[-1], -40, 40))), 1e-6, 1 - 1e-6) for x in (pos, unl))
+    return -prior * np.log(p_pos).mean(), -np.log1p(-p_unl).mean() + prior * np.log1p(-p_pos).mean(), p_pos, p_unl
+
+
+def fit_nnpu(pos: Rows, unl: Rows, width: int, prior: float, steps: int = 200, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+    """Weights of ``width`` columns and, last, the bias."""
+    w = np.zeros(width + 1)
     w[-1] = math.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
 
-    def gradient(x: np.ndarray, slope: np.ndarray) -> np.ndarray:
-        return np.append(slope @ x, slope.sum()) / len(x)
+    def gradient(x: Rows, slope: np.ndarray) -> np.ndarray:
+        return np.append(x.back(slope, width), slope.sum()) / len(slope)
 
     for step in range(1, steps + 1):
-        p_pos = 1 / (1 + np.exp(-(pos @ w[:-1] + w[-1])))
-        p_unl = 1 / (1 + np.exp(-(unl @ w[:-1] + w[-1])))
         # loss of x as positive: log(1 + e^-z), slope p - 1; as negative: log(1 + e^z), slope p
-        negative = -np.log1p(-np.minimum(p_unl, 1 - 1e-6)).mean() + prior * np.log1p(-np.minimum(p_pos, 1 - 1e-6)).mean()
+        _, negative, p_pos, p_unl = risks(w, pos, unl, prior)
         corrected = gradient(unl, p_unl) - prior * gradient(pos, p_pos)
         grad = prior * gradient(pos, p_pos - 1) + corrected if negative >= 0 else -corrected
         grad[:-1] += decay * w[:-1]
         m = ADAM[0] * m + (1 - ADAM[0]) * grad
         v = ADAM[1] * v + (1 - ADAM[1]) * grad * grad
-        w -= (rate * (m / (1 - ADAM[0] ** step)) / (np.sqrt(v / (1 - ADAM[1] ** step)) + 1e-8)).astype(np.float32)
+        w -= rate * (m / (1 - ADAM[0] ** step)) / (np.sqrt(v / (1 - ADAM[1] ** step)) + 1e-8)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: int = 6000, features: int = 2048) -> ToxicityModel:
-    """Fits the model on texts whose crc32(doc_id) mod 3 is not 1.
+def chosen_decay(pos: Rows, unl: Rows, width: int, prior: float) -> float:
+    """The decay with the least risk on rows that the fit has not seen."""
+    folds = [np.arange(len(x.sizes)) % FOLDS for x in (pos, unl)]
+    if min(len(f) for f in folds) < 10 * FOLDS:
+        return DECAYS[1]
+
+    def risk(decay: float) -> float:
+        total = 0.0
+        for k in range(FOLDS):
+            w = fit_nnpu(*(x.some(f != k) for x, f in zip((pos, unl), folds, strict=True)), width, prior, decay=decay)
+            toxic, rest, *_ = risks(w, *(x.some(f == k) for x, f in zip((pos, unl), folds, strict=True)), prior)
+            total += toxic + max(0.0, rest)
+        return total
+
+    return min(DECAYS, key=risk)
 
-    At most ``positives`` toxic and ``unlabelled`` other rows are used, those
-    with the smallest hash of their id; only their ids and their features, at
-    most ``features`` of them, reach the driver. Labels that are null count as
-    missing. Without a toxic row there is nothing to learn and every text gets
-    the low score of the bias.
+
+def g_statistic(p: Column, n_pos: int, u: Column, n_unl: int) -> Column:
+    """How far a feature's counts in both sets are from those of one rate: twice the gain in log likelihood."""
+    share = (p + u) / (n_pos + n_unl)
+
+    def gain(k: Column, n: int) -> Column:
+        own = F.when(k > 0, k * F.log(k / (n * share))).otherwise(0.0)
+        return own + F.when(k < n, (n - k) * F.log((n - k) / (n * (1 - share)))).otherwise(0.0)
+
+    return 2 * (gain(p, n_pos) + gain(u, n_unl))
+
+
+def fit(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: int = 6000, support: int = 4, significant: float = SIGNIFICANT) -> ToxicityModel:
+    """Fits the model on labelled texts whose crc32(doc_id) mod 3 is not 1.
+
+    At most ``positives`` toxic and ``unlabelled`` other rows of ``labels`` are
+    used, those with the smallest hash of their id; only their ids and those
+    features reach the driver that ``support`` of them have and whose rates in
+    both sets differ by a G statistic of ``significant`` or more, for or against
+    toxicity. Labels that are null count as missing. Without a toxic row there is nothing to learn and every
+    text gets the low score of the bias.
     """
     spark = docs.sparkSession
     order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
@@ -86,47 +152,33 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: i
     if not n or not toxic:
         return ToxicityModel()
     prior = min(0.9, max(0.001, toxic / n))
-    pos_ids = [(r[0], 1) for r in known.where("toxic = 1").select("doc_id").distinct().orderBy(*order).limit(positives).collect()]
-    unl_ids = [(r[0], 0) for r in docs.select("doc_id").where(F.col("doc_id").isNotNull() & (crc_mod("doc_id", 3) != 1)).distinct().orderBy(*order).limit(unlabelled).collect()]
-    if not unl_ids:
-        return ToxicityModel()
-    chosen = F.broadcast(spark.createDataFrame(pos_ids + unl_ids, "doc_id long, is_pos int"))  # bounded by the two parameters
+    first = lambda rows, most, is_pos: [(r[0], is_pos) for r in rows.select("doc_id").distinct().orderBy(*order).limit(most).collect()]
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    ids = first(known.where("toxic = 1"), positives, 1) + first(known, unlabelled, 0)
+    chosen = F.broadcast(spark.createDataFrame(ids, f"doc_id {labels.schema['doc_id'].dataType.simpleString()}, is_pos int"))  # bounded by the two parameters
     sample = cut(docs.select("doc_id", "text").join(chosen, "doc_id"), "sample")
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = (Counter(), Counter())
-        for batch in batches:
-            for text, is_pos in zip(batch.column("text").to_pylist(), batch.column("is_pos").to_pylist(), strict=True):
-                seen[is_pos].update(doc_features(text))
-        keys = list(seen[1])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())], ["feature", "p", "u"])
-
-    n_pos, n_unl = len(pos_ids), len(unl_ids)
-    rate_p, rate_u = (F.col("p") + 0.1) / n_pos, (F.col("u") + 0.1 + F.lit(n_unl) / n_pos * 0.1) / n_unl
-    ranked = (
-        sample.repartition(12, "doc_id").mapInArrow(counts, "feature binary, p long, u long")
-        .groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-        .where((F.col("p") >= max(3, n_pos // 400)) & (rate_p >= 2.5 * rate_u))
-        .orderBy(F.desc(F.col("p") * F.log(rate_p / rate_u)), "feature").limit(features)
-    )
-    vocabulary = {bytes(r[0]): i for i, r in enumerate(ranked.select("feature").collect())}
-    if not vocabulary:
-        return ToxicityModel()
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(vocabulary[f] for f in doc_features(t) if f in vocabulary) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("is_pos"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "is_pos", "found"])
-
-    got = sample.mapInArrow(rows, "doc_id long, is_pos int, found array<int>").orderBy("is_pos", "doc_id").toArrow()
-    x = np.zeros((got.num_rows, len(vocabulary)), np.float32)
-    for i, found in enumerate(got.column("found").to_pylist()):
-        x[i, found] = 1
-    is_pos = got.column("is_pos").to_numpy() == 1
-    if not is_pos.any() or is_pos.all():
+            features = [sorted(doc_features(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("is_pos"), pa.array(features, pa.list_(pa.binary()))], ["doc_id", "is_pos", "features"])
+
+    rows = cut(sample.mapInArrow(found, f"doc_id {id_type}, is_pos int, features array<binary>").withColumn("row", F.monotonically_increasing_id()), "sample-features")
+    each = rows.select("row", "is_pos", F.explode("features").alias("feature"))
+    n_pos, n_unl = (rows.where(f"is_pos = {k}").count() for k in (1, 0))
+    counts = each.groupBy("feature").agg(F.sum("is_pos").alias("p"), F.sum(1 - F.col("is_pos")).alias("u"))
+    telling = counts.where((F.col("p") + F.col("u") >= support) & (g_statistic(F.col("p"), n_pos, F.col("u"), n_unl) >= significant)).select("feature")
+    got = each.join(telling, "feature").groupBy("row").agg(F.collect_list("feature").alias("features"))
+    got = rows.select("row", "doc_id", "is_pos").join(got, "row", "left").orderBy("is_pos", "doc_id", "row").toArrow()
+    numbers: dict[bytes, int] = {}
+    lists = [sorted(x or ()) for x in got.column("features").to_pylist()]
+    columns = np.array([numbers.setdefault(f, len(numbers)) for x in lists for f in x], np.int64)
+    every, is_pos = Rows(columns, np.array([len(x) for x in lists], np.int64)), got.column("is_pos").to_numpy() == 1
+    if not is_pos.any() or is_pos.all() or not numbers:
         return ToxicityModel()
-    w = fit_nnpu(x[is_pos], x[~is_pos], prior)
-    return ToxicityModel(float(w[-1]), {f: float(w[i]) for f, i in vocabulary.items() if abs(w[i]) > 1e-4})
+    sets = every.some(is_pos), every.some(~is_pos)
+    w = fit_nnpu(*sets, len(numbers), prior, decay=chosen_decay(*sets, len(numbers), prior))
+    return ToxicityModel(float(w[-1]), {f: float(w[i]) for f, i in numbers.items() if abs(w[i]) > 1e-4})
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
