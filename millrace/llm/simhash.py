@@ -6,20 +6,23 @@ connected components are found by alternating large-star and small-star steps.
 A vantage-point tree over whole 64-bit fingerprints prunes next to nothing:
 distances from any point bunch around 32 with a deviation of 4, so 62 % of the
 points lie within 3 of the median radius. The trees therefore stand on a
-coarser metric first. Fingerprints that differ in at most k bits agree in one
-of k + 1 bands; the distance within a band is bounded by the whole distance, so
-the shards are the balls of radius 0 of the k + 1 band metrics, and a
-fingerprint visits one ball of each. Shards with more than ``leaf`` fingerprints
-are cut once more by the Hamming distance to vantage points, in rings as wide
-as k + 1; a fingerprint whose distance lies within k of the next ring also
-visits that ring. By the triangle inequality two fingerprints within k of each
-other meet in some shard. Inside a shard a vantage-point tree finds the exact
-pairs, and the shard gives a spanning forest of them, never all pairs.
+coarser metric first. Fingerprints that differ in at most k bits of m bands agree
+in m - k bands at least; the distance within those is bounded by the whole
+distance, so the shards are the balls of radius 0 of each choice of m - k bands.
+Of a choice as many bits are compared as leave about ``ball`` fingerprints
+together, and there are more bands when the corpus has outgrown the bits.
+Crowded balls are cut once more by the Hamming distance to vantage points, in
+rings as wide as k + 1; a fingerprint whose distance lies within k of the next
+ring also visits that ring. By the triangle inequality two fingerprints within k
+of each other meet in some shard. Inside a shard a vantage-point tree finds the
+exact pairs, and the shard gives a spanning forest of them, never all pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import cut, lower_words, text_or_empty
 
 BITS = 64
-NO_ID = (1 << 63) - 1
+#: Fingerprints of a shard up to which no tree is built; parts into which a node's links are dealt.
+LEAF, SALTS = 16, 8
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -65,8 +69,6 @@ def fingerprints(docs: DataFrame, shingle: int = 3, row: str | None = None) -> D
 class VantageTree:
     """Exact range search in Hamming space; nodes are split at the median distance to their first point."""
 
-    LEAF = 64
-
     def __init__(self, points: np.ndarray):
         self.points = points
         self.nodes: list[tuple] = []
@@ -75,7 +77,7 @@ class VantageTree:
     def _build(self, rows: np.ndarray) -> int:
         at = len(self.nodes)
         self.nodes.append(())
-        if len(rows) > self.LEAF:
+        if len(rows) > LEAF:
             away = np.bitwise_count(self.points[rows] ^ self.points[rows[0]]).astype(np.int64)
             radius = int(np.median(away))
             inner = away <= radius
@@ -154,7 +156,7 @@ def shard_links(shards: DataFrame, keys: list[str], reach: int) -> DataFrame:
             begins = begins[begins < stop]
             ends = np.append(begins[1:], stop)[: len(begins)]
             a_s, b_s = [], []
-            small = ends - begins <= VantageTree.LEAF
+            small = ends - begins <= LEAF
             # shards that are one leaf: all of them at once, by the distance of rows in sorted order
             size = np.where(small, ends - begins, 0)
             left = np.zeros(n, np.int64)  # how many rows of its shard follow each row
@@ -185,11 +187,26 @@ def shard_links(shards: DataFrame, keys: list[str], reach: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def links(fps: DataFrame, reach: int = 3, leaf: int = 512, vantages: int = 3) -> DataFrame:
+def ball_masks(n: int, reach: int, ball: int) -> list[int]:
+    """Masks of which any two of ``n`` fingerprints within ``reach`` agree on one; each leaves about ``ball`` of them together."""
+    wanted = max(4, math.ceil(math.log2(max(2, n / ball))))
+    bands = reach + 1
+    while (bands - reach) * (BITS // bands) < wanted and bands < 2 * reach + 2:
+        bands += 1
+    edges = [BITS * b // bands for b in range(bands + 1)]
+    masks = []
+    for chosen in combinations(range(bands), bands - reach):
+        # the bits of the chosen bands in turn, as many as wanted
+        places = [edges[b] + i for i in range(BITS) for b in chosen if edges[b] + i < edges[b + 1]][:wanted]
+        masks.append(sum(1 << p for p in places))
+    return masks
+
+
+def links(fps: DataFrame, reach: int = 3, leaf: int = 1024, vantages: int = 3, ball: int = 256) -> DataFrame:
     """Links (a, b) between the distinct fingerprints in ``fps`` (fp) that give the same components as all pairs within ``reach``."""
-    bands, width = reach + 1, BITS // (reach + 1)
-    ball = lambda k: (F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << width) - 1)) if k + 1 < bands else F.shiftrightunsigned("fp", k * width)).cast("long")
-    shards = fps.select("fp", F.posexplode(F.array(*[ball(k) for k in range(bands)])).alias("band", "ball"))
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    masks = ball_masks(fps.count(), reach, ball)
+    shards = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")) for m in masks])).alias("band", "ball"))
     sizes = cut(shards.groupBy("band", "ball").agg(F.count(F.lit(1)).alias("n"), *[F.min(F.struct(F.xxhash64("fp", F.lit(i)), "fp"))["fp"].alias(f"v{i}") for i in range(vantages)]), "balls")
     crowded = sizes.where(F.col("n") > leaf).drop("n")
     # balls that fit one task
@@ -204,6 +221,13 @@ def links(fps: DataFrame, reach: int = 3, leaf: int = 512, vantages: int = 3) ->
     return shard_links(small, ["band", "ball"], reach).unionByName(shard_links(ringed.select(*ring_keys, "fp"), ring_keys, reach)).distinct()
 
 
+def _with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """``rows`` (u, v) joined with the row of ``least`` (u, m) of each u; a u with many rows is dealt into parts."""
+    part = F.pmod(F.xxhash64("v"), F.lit(SALTS))
+    every = least.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("_part", part).join(every, ["u", "_part"]).drop("_part")
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node connected with it.
 
@@ -215,9 +239,9 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "large-star")
+        large = cut(_with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(least, "u")
+        linked = _with_least(large, least)
         small = cut(
             linked.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct(),
@@ -232,7 +256,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"no fixed point after {rounds} rounds")
 
 
-def near_dups(docs: DataFrame, reach: int = 3, shingle: int = 3, leaf: int = 512, row: str | None = None) -> DataFrame:
+def near_dups(docs: DataFrame, reach: int = 3, shingle: int = 3, leaf: int = 1024, row: str | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs`` (doc_id, text).
 
     Fingerprints that differ in at most ``reach`` bits are linked; component_id
@@ -244,7 +268,7 @@ def near_dups(docs: DataFrame, reach: int = 3, shingle: int = 3, leaf: int = 512
     smallest doc_id, then of the smallest key. Other columns are not read; an
     empty table gives no rows.
     """
-    first = F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("first_id")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id")).alias("first_id")
     own = [] if row is None else [F.col(row).alias("first_row")]
     names = ["first_id", *("first_row" for _ in own)]
     rows = cut(fingerprints(docs, shingle, row), "fingerprints")
@@ -254,10 +278,10 @@ def near_dups(docs: DataFrame, reach: int = 3, shingle: int = 3, leaf: int = 512
     edges = edges.join(named("a"), "a").join(named("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     comps = components(edges).select(F.col("node.fp").alias("fp"), F.struct(*[F.col(f"root.{c}") for c in names]).alias("root"))
     roots = nodes.join(comps, "fp", "left").select("fp", F.coalesce("root", F.struct(*names)).alias("root"))
-    ids = cut(roots.select("fp", F.col("root.first_id").alias("component_id"), *[F.col("root.first_row") for _ in own]), "components")
+    ids = cut(roots.select("fp", F.col("root.first_id.doc_id").alias("component_id"), *[F.col("root.first_row") for _ in own]), "components")
     return rows.join(ids, "fp", "left").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"),
+        "component_id",
         *([] if row is None else [F.col(row), (F.col(row) == F.col("first_row")).alias("kept")]),
     )
