@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,11 +27,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    That is ``spark.checkpoint.dir`` or the context's checkpoint folder. Only
-    where neither is set, as in tests on one machine, a folder is made.
+    That is ``spark.checkpoint.dir`` or the context's checkpoint folder. Where
+    neither is set, a folder is made if all tasks run in the driver's process, as
+    in tests; on a cluster it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own_root:
             _own_root.append(tempfile.mkdtemp(prefix="millrace-"))
         root = _own_root[0]

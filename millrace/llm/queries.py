@@ -10,14 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontam, exact_dedup, html_text, mixing, secrets, simhash, suffix_dedup, toxicity, url_lists
-from millrace.llm.common import read_table
+from millrace.llm.common import crc_mod, read_table
+
+
+def halves(docs: DataFrame) -> list[DataFrame]:
+    """The rows in two batches, so that the second meets what the first has left."""
+    return [docs.where(crc_mod("doc_id", 2) == k) for k in range(2)]
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = secrets.SecretLedger(spark, f"secrets_{uuid.uuid4().hex}")
+    docs, ledger = read_table(spark, sf_dir, "documents"), secrets.SecretLedger(spark, f"secrets_{uuid.uuid4().hex}")
+    for part in halves(docs):
+        ledger.scan(part)
     of = lambda *kinds: F.filter("found", lambda s: s["kind"].isin(*kinds))
     base = [r.kind for r in secrets.BASE_RULES]
-    return ledger.add(read_table(spark, sf_dir, "documents")).select(
+    return ledger.findings(docs).select(
         "doc_id",
         *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in base],
         F.sha2(secrets.span_text(of(*base)).cast("binary"), 256).alias("base_sha256"),
@@ -56,8 +63,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = exact_dedup.DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
-    return index.add(read_table(spark, sf_dir, "documents"))
+    docs, index = read_table(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
+    for part in halves(docs):
+        index.append(part)
+    return index.settled(docs)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +133,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op9_url_lists": OP9_SQL}
+    return {"op1_secrets": OP1_SQL, "op3_decontamination": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op9_url_lists": OP9_SQL}
+
+
+#: Words as lists; a window is a text of ten words with a space after each, and an item of fewer words one window of all.
+OP3_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
+i AS (SELECT item_id, least(10, len(w)) AS n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda k: array_to_string(w[k:k + least(10, len(w)) - 1], ' '))) AS win FROM b WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM i),
+p AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS k, w FROM d, sizes WHERE len(w) >= n),
+h AS (SELECT DISTINCT r, k, p.n, item_id FROM (SELECT r, k, n, array_to_string(w[k:k + n - 1], ' ') AS win FROM p) p JOIN i ON p.n = i.n AND p.win = i.win),
+c AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS place FROM (SELECT DISTINCT r, k, n FROM h)) GROUP BY r),
+t AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM h GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON d.r = c.r LEFT JOIN t ON d.r = t.r
+"""
+
+#: The columns that SQL can say, as n_shared counts sampled suffixes; the tests hold the query against it. Bytes are hex digits, two to a byte.
+OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(coalesce(text, '')) AS x FROM documents),
+p AS (SELECT r, k, md5(substr(x, 2 * k + 1, 800)) AS m FROM (SELECT r, x, unnest(range(0, length(x) // 2 - 399)) AS k FROM d WHERE length(x) >= 800)),
+q AS (SELECT r, k FROM p SEMI JOIN (SELECT m FROM p GROUP BY m HAVING count(*) > 1) g ON p.m = g.m),
+o AS (SELECT r, k, CASE WHEN k <= lag(k) OVER (PARTITION BY r ORDER BY k) + 400 THEN 0 ELSE 1 END AS f FROM q),
+s AS (SELECT r, min(k) AS b, max(k) + 400 AS e FROM (SELECT r, k, sum(f) OVER (PARTITION BY r ORDER BY k) AS run FROM o) GROUP BY r, run),
+t AS (SELECT r, count(*) AS n_spans, sum(e - b) AS n_removed, list(b ORDER BY b) AS bs, list(e ORDER BY b) AS es FROM s GROUP BY r)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE array_to_string(list_transform(range(0, n_spans + 1), lambda j: substr(x, 2 * (CASE WHEN j = 0 THEN 0 ELSE es[j] END) + 1, 2 * ((CASE WHEN j = n_spans THEN length(x) // 2 ELSE bs[j + 1] END) - (CASE WHEN j = 0 THEN 0 ELSE es[j] END)))), '') END)) AS kept_sha256
+FROM d LEFT JOIN t ON d.r = t.r
+"""
 
 
 OP7_SQL = r"""

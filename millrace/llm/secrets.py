@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, text_or_empty
+from millrace.llm.common import text_or_empty
 
 
 @dataclass(frozen=True)
@@ -93,45 +93,34 @@ class SecretLedger:
     def __init__(self, spark: SparkSession, table: str, rules: Sequence[Rule] = RULES):
         self.spark, self.table, self.rules = spark, table, tuple(rules)
 
+    def create(self) -> None:
+        """Makes the ledger, empty, if there is none."""
+        self.spark.createDataFrame([], LEDGER).write.mode("ignore").format("parquet").saveAsTable(self.table)
+
     def read(self) -> DataFrame:
         """Rows (blob, rules, found): a row for each time that a blob was scanned."""
         return self.spark.table(self.table) if self.spark.catalog.tableExists(self.table) else self.spark.createDataFrame([], LEDGER)
 
     def _unseen(self, blobs: DataFrame) -> DataFrame:
-        """Rows (blob, todo): the rule versions, not none, that each blob still lacks."""
+        """Rows (blob, text, todo): the rule versions, not none, that each of the distinct ``blobs`` still lacks."""
         keys = F.array(*[F.lit(r.key) for r in self.rules])
         seen = self.read().select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        todo = blobs.join(seen, "blob", "left").select("blob", F.when(F.col("seen").isNull(), keys).otherwise(F.array_except(keys, "seen")).alias("todo"))
+        todo = blobs.join(seen.hint("merge"), "blob", "left").select("blob", "text", F.when(F.col("seen").isNull(), keys).otherwise(F.array_except(keys, "seen")).alias("todo"))
         return todo.where(F.size("todo") > 0)
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """Scans what is new in ``docs`` (doc_id, text), appends it, and returns a row per row of ``docs``.
+        """Scans what is new in ``docs`` (doc_id, text), appends it, and returns ``findings`` of them."""
+        self.scan(docs)
+        return self.findings(docs)
+
+    def findings(self, docs: DataFrame) -> DataFrame:
+        """A row per row of ``docs``: what the ledger has on it, for the present rule versions.
 
         Columns: doc_id, blob and found, an array of (start, rule_no, end, kind)
         by start, then the rule's place in ``rules``. Null texts count as empty.
         Rows that repeat give repeated rows; null doc_ids pass through; other
         columns are not read; an empty table gives no rows.
         """
-        text = text_or_empty()
-        versions = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("blob"))
-        first_time = not self.spark.catalog.tableExists(self.table)
-        if first_time:
-            keys = F.array(*[F.lit(r.key) for r in self.rules])
-            blobs = versions.groupBy("blob").agg(F.first("text").alias("text")).select("blob", "text", keys.alias("todo"))
-        else:
-            todo = cut(self._unseen(versions.select("blob").distinct()), "unseen")
-            blobs = versions.select("blob", "text").join(todo, "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
-        def found(rule: Rule) -> Column:
-            named = F.transform(spans(F.col("text"), rule), lambda s: F.struct(F.lit(rule.key).alias("rule"), s["start"].alias("start"), s["end"].alias("end")))
-            due = F.array_contains("todo", rule.key) & F.col("text").rlike(rule.probe or rule.pattern)
-            return F.when(due, named).otherwise(F.array().cast("array<struct<rule:string,start:int,end:int>>"))
-
-        scanned = blobs.select("blob", F.col("todo").alias("rules"), F.concat(*map(found, self.rules)).alias("found"))
-        scanned.write.mode("append").format("parquet").saveAsTable(self.table)
-        return self.findings(docs)
-
-    def findings(self, docs: DataFrame) -> DataFrame:
-        """What the ledger has on each row of ``docs``, for the present rule versions."""
         number = F.create_map(*[x for i, r in enumerate(self.rules) for x in (F.lit(r.key), F.struct(F.lit(i).alias("no"), F.lit(r.kind).alias("kind")))])
         valid = F.filter("found", lambda s: F.array_contains(F.array(*[F.lit(r.key) for r in self.rules]), s["rule"]))
         known = (
@@ -142,6 +131,21 @@ class SecretLedger:
         none = F.array().cast("array<struct<start:int,rule_no:int,end:int,kind:string>>")
         return rows.join(known, "blob", "left").select("doc_id", "blob", F.coalesce("found", none).alias("found"))
 
+    def scan(self, docs: DataFrame) -> None:
+        """Scans the pairs of blob and rule version in ``docs`` that the ledger lacks, and appends them."""
+        text = text_or_empty()
+        versions = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("blob"))
+        self.create()
+        blobs = self._unseen(versions.groupBy("blob").agg(F.first("text").alias("text")))
+
+        def found(rule: Rule) -> Column:
+            named = F.transform(spans(F.col("text"), rule), lambda s: F.struct(F.lit(rule.key).alias("rule"), s["start"].alias("start"), s["end"].alias("end")))
+            due = F.array_contains("todo", rule.key) & F.col("text").rlike(rule.probe or rule.pattern)
+            return F.when(due, named).otherwise(F.array().cast("array<struct<rule:string,start:int,end:int>>"))
+
+        scanned = blobs.select("blob", F.col("todo").alias("rules"), F.concat(*map(found, self.rules)).alias("found"))
+        scanned.write.mode("append").format("parquet").saveAsTable(self.table)
+
 
 def span_text(found: Column) -> Column:
     """kind:start:end of each finding, comma-joined."""

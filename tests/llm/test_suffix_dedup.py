@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -41,6 +42,14 @@ def test_query_against_brute_force(spark):
     assert any(k[2] for k in got)
 
 
+def test_query_against_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(queries.OP8_SQL)
+    names = [d[0] for d in want.description]
+    assert Counter(want.fetchall()) == Counter(tuple(r) for r in queries.op8_suffix_dedup(spark, SF).select(*names).collect())
+
+
 @pytest.mark.parametrize("batches", [(1,), (1, 1, 1), (4, 1)])
 def test_overlaps_shifts_and_awkward_rows(spark, batches):
     rng = np.random.default_rng(3)
