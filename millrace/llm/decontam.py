@@ -152,7 +152,11 @@ def _search_block(index: DataFrame, block: list[tuple[object, list[bytes]]], siz
             windows.setdefault(w, set()).add(str(item_id))
     terms = sorted({t for w in windows for t in w})
     number = {t: i for i, t in enumerate(terms)}
-    sent = index.sparkSession.sparkContext.broadcast((terms, [[number[t] for t in w] for w in windows], [sorted(x) for x in windows.values()]))
+    # a row per window; shorter ones end with the number after the last term, which stands for no word
+    grid = np.full((len(windows), size), len(terms), np.int32)
+    for i, w in enumerate(windows):
+        grid[i, : len(w)] = [number[t] for t in w]
+    sent = index.sparkSession.sparkContext.broadcast((terms, grid, [sorted(x) for x in windows.values()]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, queries, items = sent.value
@@ -161,17 +165,16 @@ def _search_block(index: DataFrame, block: list[tuple[object, list[bytes]]], siz
             n = len(shard.n_words)
             marks = np.zeros(int(shard.starts[-1]) + size + 1, np.int32)
             found_items: dict[int, set] = {}
-            local = shard.codes(vocabulary).tolist() if len(vocabulary) else []
-            for query, owners in zip(queries, items, strict=True):
-                codes = [local[t] for t in query]
-                if min(codes) < 0:
-                    continue
+            # the shard's numbers of the terms: -1 for one that it lacks, and -2 for no word
+            local = np.append(shard.codes(vocabulary) if len(vocabulary) else np.zeros(0, np.int64), -2)[queries]
+            for q in np.flatnonzero((local != -1).all(axis=1)).tolist():
+                codes = local[q][local[q] >= 0].tolist()
                 at = shard.phrase(codes)
                 if len(at):
                     np.add.at(marks, at, 1)
-                    np.add.at(marks, at + len(query), -1)
+                    np.add.at(marks, at + len(codes), -1)
                     for d in np.unique(shard.docs_at(at)).tolist():
-                        found_items.setdefault(d, set()).update(owners)
+                        found_items.setdefault(d, set()).update(items[q])
             hit = np.cumsum(marks) > 0
             edge = np.diff(np.concatenate([[0], hit.astype(np.int8)]))
             begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
