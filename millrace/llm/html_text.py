@@ -7,12 +7,15 @@ a cluster selects the region it stands in: the article or main element around
 it, or else the smallest element that holds most of the clustered text. A
 region gives all its lines but those of elements that are no article text by
 their tag, role, id or class (menus, asides, forms, adverts, comments, ...), so
-a short paragraph between long ones stays.
+a short paragraph between long ones stays. What an id or class says counts
+against an element only as long as the clusters do not say otherwise: one that
+holds most of the clustered text of a page is the article, whatever its name.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -23,8 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FEED = 1 << 16
-#: Elements nest at most this deep, as in browsers; deeper ones count as part of the one above.
-DEPTH = 512
 SIGMA, THRESHOLD, MOST = 1.0, 0.5, 0.7
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,14 +61,15 @@ class Line:
     tags: int
     link_chars: int
     node: int
-    dropped: bool
 
 
 @dataclass
 class Node:
     tag: str
     parent: int
+    #: Whether it or an element around it is no article text by its tag or role, and whether its own id or class says so.
     dropped: bool
+    named: bool = False
     whole: bool = False
 
 
@@ -79,6 +81,7 @@ class LineParser(HTMLParser):
         self.lines: list[Line] = []
         self.nodes = [Node("", -1, False)]
         self.stack = [0]
+        self.open: Counter = Counter()
         self.pieces: list[str] = []
         self.tags = self.link_chars = self.links = 0
         self.ending = False
@@ -87,25 +90,32 @@ class LineParser(HTMLParser):
         text = " ".join("".join(self.pieces).split())
         if text:
             at = self.stack[-1]
-            self.lines.append(Line(text, self.tags, self.link_chars, at, self.nodes[at].dropped))
+            self.lines.append(Line(text, self.tags, self.link_chars, at))
             self.tags = 0
         self.pieces, self.link_chars = [], 0
 
     def leave(self, depth: int) -> None:
         self.cut()
+        self.open.subtract(self.nodes[n].tag for n in self.stack[depth:])
         del self.stack[depth:]
         self.links = 0
 
     def is_dropped(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        """Whether the element is no article text by its tag, role or style."""
         found = {k: v or "" for k, v in attrs}
-        words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{found.get('id', '')} {found.get('class', '')}").lower()))
         if tag in WHOLE:
-            return bool(words & COMMENTS) and tag == "article"
+            return False
         if tag in DROPPED or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true":
             return True
-        if re.search(r"display\s*:\s*none", found.get("style", "")):
-            return True
-        if (tag == "header" or "header" in words) and not self.nodes[self.stack[-1]].whole:
+        return tag == "header" and not self.nodes[self.stack[-1]].whole or bool(re.search(r"display\s*:\s*none", found.get("style", "")))
+
+    def is_named(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        """Whether the element's id or class says that it is no article text."""
+        found = {k: v or "" for k, v in attrs}
+        words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{found.get('id', '')} {found.get('class', '')}").lower()))
+        if tag in WHOLE:
+            return bool(words & COMMENTS) and tag == "article"
+        if "header" in words and not self.nodes[self.stack[-1]].whole:
             return True
         return bool(words & NAMES) or any(w.startswith("advert") for w in words)
 
@@ -116,7 +126,7 @@ class LineParser(HTMLParser):
             return
         if tag == "a":
             self.links = 1
-        if tag in INLINE and not self.is_dropped(tag, attrs):
+        if tag in INLINE and not self.is_dropped(tag, attrs) and not self.is_named(tag, attrs):
             return
         if tag not in HEAD_ONLY and tag != "head" and self.nodes[self.stack[-1]].tag == "head":
             self.leave(len(self.stack) - 1)
@@ -133,12 +143,13 @@ class LineParser(HTMLParser):
                     break
         else:
             self.cut()  # an inline advert or the like
-        if tag in VOID or len(self.stack) >= DEPTH:
+        if tag in VOID:
             return
         above = self.nodes[self.stack[-1]]
-        dropped = above.dropped or self.is_dropped(tag, attrs)
-        self.nodes.append(Node(tag, self.stack[-1], dropped, not dropped and tag in ("article", "main") or above.whole))
+        dropped, named = above.dropped or self.is_dropped(tag, attrs), self.is_named(tag, attrs)
+        self.nodes.append(Node(tag, self.stack[-1], dropped, named, not dropped and not named and tag in ("article", "main") or above.whole))
         self.stack.append(len(self.nodes) - 1)
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID or tag in INLINE:
@@ -152,7 +163,7 @@ class LineParser(HTMLParser):
         self.tags += 1
         if tag == "a":
             self.links = 0
-        for depth in range(len(self.stack) - 1, 0, -1):
+        for depth in range(len(self.stack) - 1, 0, -1) if self.open[tag] > 0 else ():
             if self.nodes[self.stack[depth]].tag == tag:
                 self.leave(depth)
                 return
@@ -203,45 +214,70 @@ class Page:
     n_lines: int = 0
 
 
-def main_text(html: str) -> Page:
+def ratios(lines: list[Line]) -> np.ndarray:
+    """Of each line its characters outside links over its tags."""
+    return np.array([max(0, len(x.text) - x.link_chars) / max(1, x.tags) for x in lines], float)
+
+
+def clustered(values: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """The live lines whose smoothed ratio is above the threshold; those of the highest ratio if there are none."""
+    smooth = smoothed(np.where(live, values, 0))
+    content = live & (smooth > THRESHOLD * smooth[live].std()) & (values > 0)
+    return content if content.any() else live & (values == values[live].max())
+
+
+def main_text(html: str, ratios_of=ratios) -> Page:
     """The main text of one page."""
     parser = LineParser()
     lines = parser.run(html)
-    nodes = parser.nodes
-    live = np.array([not x.dropped for x in lines], bool)
+    nodes, of = parser.nodes, np.array([x.node for x in lines], np.int64)
+    parent = [n.parent for n in nodes]
+    values = ratios_of(lines)
+
+    def mass(content: np.ndarray) -> list[int]:
+        """Characters of the clustered lines in each element; an element comes before what it holds."""
+        found = [0] * len(nodes)
+        for i in np.flatnonzero(content):
+            found[of[i]] += len(lines[i].text)
+        for n in range(len(nodes) - 1, 0, -1):
+            found[parent[n]] += found[n]
+        return found
+
+    # an element is not judged by its name if it holds most of the clustered text and no article or main element has its own
+    kept = np.array([not nodes[n].dropped for n in of], bool)
+    if not kept.any():
+        return Page(n_lines=len(lines))
+    held = mass(clustered(values, kept))
+    plain, named = [False] * len(nodes), [False] * len(nodes)  # within an article or main element; within an element with a telling name
+    for n in range(1, len(nodes)):
+        named[n] = named[parent[n]] or nodes[n].named
+        plain[n] = plain[parent[n]] or nodes[n].whole and not named[n]
+    article = any(plain[n] and not plain[parent[n]] and held[n] > 0 for n in range(1, len(nodes)))
+    gone = [False] * len(nodes)
+    for n in range(1, len(nodes)):
+        gone[n] = gone[parent[n]] or nodes[n].dropped or nodes[n].named and (article or held[n] < MOST * held[0])
+
+    live = np.array([not gone[n] for n in of], bool)
     if not live.any():
         return Page(n_lines=len(lines))
-    chars = np.array([max(0, len(x.text) - x.link_chars) for x in lines], float)
-    ratios = chars / np.maximum(1, [x.tags for x in lines])
-    smooth = smoothed(np.where(live, ratios, 0))
-    content = live & (smooth > THRESHOLD * smooth[live].std()) & (chars > 0)
-    if not content.any():
-        content = live & (ratios == ratios[live].max())
-    found = clusters(content)
-
-    # an element comes before what it holds, so one pass sums up and one hands down
-    mass = [0] * len(nodes)
-    for i in np.flatnonzero(content):
-        mass[lines[i].node] += len(lines[i].text)
-    for n in range(len(nodes) - 1, 0, -1):
-        mass[nodes[n].parent] += mass[n]
+    content = clustered(values, live)
+    held = mass(content)
     holder = [0] * len(nodes)  # the outermost article or main element around each element
     for n in range(1, len(nodes)):
-        holder[n] = holder[nodes[n].parent] or (n if nodes[n].whole else 0)
-    holders = {holder[lines[i].node] for i in np.flatnonzero(content)} - {0}
-    if sum(mass[n] for n in holders) >= 0.5 * mass[0]:
-        kept = [i for i, x in enumerate(lines) if live[i] and holder[x.node] in holders]
+        holder[n] = holder[parent[n]] or (n if nodes[n].whole else 0)
+    holders = {holder[of[i]] for i in np.flatnonzero(content)} - {0}
+    if sum(held[n] for n in holders) >= 0.5 * held[0]:
+        chosen = [i for i in range(len(lines)) if live[i] and holder[of[i]] in holders]
     else:
         region = 0
         for n in range(1, len(nodes)):
-            if nodes[n].parent == region and mass[n] >= MOST * mass[0] and nodes[n].tag != "p":
+            if parent[n] == region and held[n] >= MOST * held[0] and nodes[n].tag != "p":
                 region = n
         within = [n == region for n in range(len(nodes))]
         for n in range(1, len(nodes)):
-            within[n] = within[n] or within[nodes[n].parent]
-        inside = {i for i, x in enumerate(lines) if live[i] and within[x.node]}
-        kept = sorted(inside)
-    return Page("\n".join(lines[i].text for i in kept), found, kept, len(lines))
+            within[n] = within[n] or within[parent[n]]
+        chosen = [i for i in range(len(lines)) if live[i] and within[of[i]]]
+    return Page("\n".join(lines[i].text for i in chosen), clusters(content), chosen, len(lines))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -48,6 +48,28 @@ def test_layouts(name, frame):
     assert main_text(frame.format(LAYOUTS[name])).text == TEXT
 
 
+@pytest.mark.parametrize("name", ["related-work", "widget", "entry social-science", "story hidden-gems", "comment-on-law"])
+def test_an_element_with_most_of_the_text_is_not_judged_by_its_name(name):
+    assert main_text(f"<html><body><div>{MENU}</div><div class='{name}'>{BODY}</div><div>{MENU}</div></body></html>").text == TEXT
+    aside = f"<html><body><article>{BODY}</article><div class='{name}'><p>{'Words of a reader or of a notice. ' * 40}</p></div></body></html>"
+    assert main_text(aside).text == TEXT
+
+
+def test_the_ratios_choose_the_region():
+    """With other ratios the text is another one."""
+    import numpy as np
+
+    page = f"<html><body><div>{MENU}</div><div>{BODY}</div><div>{MENU}</div></body></html>"
+    turned = main_text(page, lambda lines: np.array([100.0 * (x.link_chars == len(x.text)) for x in lines]))
+    assert main_text(page).text == TEXT
+    assert turned.text != TEXT and "Item 3" in turned.text
+
+
+def test_a_deep_menu_goes():
+    deep = "<div>" * 800 + "<nav><p>A menu that stands very deep in the page, with many words in it.</p></nav>" + BODY + "</div>" * 800
+    assert main_text(deep).text == TEXT
+
+
 PARTS = [
     ("<p>{}</p>", "In brief."),
     *(("<p>{}</p>", f"Long paragraph number {i} with enough words in it to stand out from what is around it, and more.") for i in range(5)),

@@ -180,8 +180,19 @@ def test_simhash(spark, texts):
     assert len(got) == len(texts)
 
 
-@pytest.mark.parametrize("leaf", [4, 100_000])
-def test_links_and_components_of_crowded_fingerprints(spark, leaf):
+@pytest.mark.parametrize("n", [10, 10**5, 10**9, 10**13])
+def test_masks_meet_all_near_pairs(n):
+    from itertools import combinations
+
+    masks = simhash.ball_masks(n, 3, 256)
+    rng = np.random.default_rng(6)
+    flips = [sum(1 << int(b) for b in rng.choice(64, 3, replace=False)) for _ in range(3000)] + [sum(1 << b for b in c) for c in combinations(range(0, 64, 8), 3)]
+    assert all(any(f & m == 0 for m in masks) for f in flips)
+    assert min(m.bit_count() for m in masks) >= min(28, np.log2(n / 256))
+
+
+@pytest.mark.parametrize(("leaf", "ball"), [(4, 256), (100_000, 256), (64, 2), (64, 100_000)])
+def test_links_and_components_of_crowded_fingerprints(spark, leaf, ball):
     rng = np.random.default_rng(5)
     near = [0x123456789ABCDEF0 ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 12), replace=False)) for _ in range(700)]
     chain, f = [], 0xFFFF0000FFFF0000
@@ -190,7 +201,7 @@ def test_links_and_components_of_crowded_fingerprints(spark, leaf):
         chain.append(f)
     fps = {*near, *chain, *(int(x) for x in rng.integers(0, 1 << 63, 300)), 0, 1 << 63}
     signed = [(int(np.uint64(x).view(np.int64)),) for x in fps]
-    found = simhash.links(spark.createDataFrame(signed, "fp long"), 3, leaf)
+    found = simhash.links(spark.createDataFrame(signed, "fp long"), 3, leaf, ball=ball)
     pairs = [(r.a % (1 << 64), r.b % (1 << 64)) for r in found.collect()]
     assert len(pairs) < 40 * len(fps)
     comp = brute_components(fps)
@@ -209,6 +220,19 @@ def test_simhash_of_awkward_rows(spark):
     assert Counter((r.doc_id, r.fingerprint) for r in got) == Counter((i, f"{brute_fp(t):016x}") for i, t in AWKWARD)
     assert {r.component_id for r in got if r.doc_id in (2, 3, 4)} == {2}
     assert simhash.near_dups(spark.createDataFrame([], DOCS)).count() == 0
+    last = [((1 << 63) - 1, "a b c"), (None, "a b c"), (None, "d e")]
+    assert sorted(r.component_id or 0 for r in simhash.near_dups(spark.createDataFrame(last, DOCS)).collect()) == [0, (1 << 63) - 1, (1 << 63) - 1]
+    named = spark.createDataFrame([("b", "a b c"), ("a", "a b c")], "doc_id string, text string")
+    assert {r.component_id for r in simhash.near_dups(named).collect()} == {"a"}
+
+
+def test_trees_prune_and_find_all_pairs():
+    rng = np.random.default_rng(7)
+    points = np.unique(rng.integers(0, 1 << 63, 40).astype(np.uint64)[rng.integers(0, 40, 600)] ^ (np.uint64(1) << rng.integers(0, 64, 600).astype(np.uint64)))
+    tree = simhash.VantageTree(points)
+    assert sum(len(n) == 4 for n in tree.nodes) > 5
+    got = {tuple(x) for a, b in tree.pairs(3) for x in zip(a.tolist(), b.tolist(), strict=True)}
+    assert got == {(i, j) for j in range(len(points)) for i in range(j) if (int(points[i]) ^ int(points[j])).bit_count() <= 3}
 
 
 # -- toxicity
@@ -235,10 +259,55 @@ def test_toxicity_of_awkward_rows(spark):
     assert toxicity.score(docs.limit(0), nothing).count() == 0
 
 
+def rows_of(x):
+    return toxicity.Rows(np.nonzero(x)[1], x.sum(axis=1).astype(int))
+
+
 def test_nnpu_recovers_a_separator():
     rng = np.random.default_rng(1)
-    pos = (rng.random((300, 6)) < [0.9, 0.9, 0.1, 0.5, 0.5, 0.5]).astype(np.float32)
-    neg = (rng.random((900, 6)) < [0.1, 0.1, 0.9, 0.5, 0.5, 0.5]).astype(np.float32)
-    unl = np.concatenate([neg, (rng.random((100, 6)) < [0.9, 0.9, 0.1, 0.5, 0.5, 0.5]).astype(np.float32)])
-    w = toxicity.fit_nnpu(pos, unl, 0.1)
+    pos = rng.random((300, 6)) < [0.9, 0.9, 0.1, 0.5, 0.5, 0.5]
+    neg = rng.random((900, 6)) < [0.1, 0.1, 0.9, 0.5, 0.5, 0.5]
+    unl = np.concatenate([neg, rng.random((100, 6)) < [0.9, 0.9, 0.1, 0.5, 0.5, 0.5]])
+    w = toxicity.fit_nnpu(rows_of(pos), rows_of(unl), 6, 0.1)
     assert (pos @ w[:-1] + w[-1] > 0).mean() > 0.8 and (neg @ w[:-1] + w[-1] > 0).mean() < 0.1
+    assert w[2] < 0 < w[0]  # features speak against toxicity too
+
+
+def test_nnpu_against_a_plain_loop():
+    """Risks and weights by dense matrices and one row at a time."""
+    rng = np.random.default_rng(2)
+    pos, unl, prior, decay = rng.random((12, 4)) < 0.6, rng.random((30, 4)) < 0.4, 0.2, 1e-3
+    w, m, v = np.append(np.zeros(4), np.log(prior / (1 - prior))), np.zeros(5), np.zeros(5)
+    for step in range(1, 41):
+        sums = {"+": np.zeros(5), "-pos": np.zeros(5), "-unl": np.zeros(5)}
+        loss = {"pos": 0.0, "unl": 0.0}
+        for name, x in (("pos", pos), ("unl", unl)):
+            for r in x:
+                p = 1 / (1 + np.exp(-(r @ w[:-1] + w[-1])))
+                sums[f"-{name}"] += p * np.append(r, 1) / len(x)
+                loss[name] -= np.log(1 - p) / len(x)
+                if name == "pos":
+                    sums["+"] += (p - 1) * np.append(r, 1) / len(x)
+        rest = sums["-unl"] - prior * sums["-pos"]
+        g = prior * sums["+"] + rest if loss["unl"] - prior * loss["pos"] >= 0 else -rest
+        g += decay * np.append(w[:-1], 0)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    assert np.allclose(w, toxicity.fit_nnpu(rows_of(pos), rows_of(unl), 4, prior, steps=40, decay=decay))
+
+
+def brute_features(text):
+    w = [x.encode() for x in words(text)]
+    own = Counter(w)
+    for n in (4, 5):
+        own.update(x[:n] + b"*" for x in w if len(x) > n)
+    return set(own) | {f + b"+" for f, c in own.items() if c >= 2 and c >= len(w) / 200}
+
+
+def test_toxicity_scores_against_brute_force(spark, texts):
+    """The fitted weights, applied to features made another way."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    for r in toxicity.score(docs, model).collect():
+        z = model.bias + sum(model.weights.get(f, 0.0) for f in brute_features(texts[r.doc_id]))
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9 and r.predicted == (r.score >= 0.7)
