@@ -41,6 +41,12 @@ class DigestIndex:
         """Rows (digest, keep_id, keep_points, copies) of the first batch that had each digest, bucketed by digest."""
         return self.spark.table(self.table)
 
+    def _plain(self, table: str) -> DataFrame:
+        """A table's rows without its bucketing, as Spark 4.1 groups a union of bucketed tables bucket by bucket of each."""
+        files = self.spark.table(table).inputFiles()
+        read = self.spark.read.schema(self.spark.table(table).schema)
+        return read.parquet(*files) if files else self.spark.table(table)
+
     def _append(self, rows: DataFrame, table: str) -> None:
         rows.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").format("parquet").saveAsTable(table)
 
@@ -93,7 +99,7 @@ class DigestIndex:
 
     def settled(self, docs: DataFrame) -> DataFrame:
         """As ``add`` for ``docs`` that the index has taken: of equal texts of all batches the one with the most code points, then the smallest doc_id, stays."""
-        every = self.read().unionByName(self.spark.table(self.more))
+        every = self._plain(self.table).unionByName(self._plain(self.more))
         best = every.groupBy("digest").agg(F.min(_best("keep_points", "keep_id")).alias("best"), F.sum("copies").alias("copies"))
         entries = cut(best.select("digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.less")).alias("keep_points"), "copies"), "entries")
         kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points"))

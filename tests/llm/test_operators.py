@@ -64,6 +64,20 @@ def test_exact_dedup_is_incremental(spark):
     assert index.add(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_exact_dedup_settles_all_batches(spark):
+    rows = [(i, None if i % 9 == 0 else " " * (i % 5) + f"text {i % 7}") for i in range(60)] + [(None, "text 1"), (3, "text 3")]
+    docs = spark.createDataFrame(rows, DOCS)
+    index = exact_dedup.DigestIndex(spark, f"d_{uuid.uuid4().hex}", 4)
+    for k in range(3):
+        index.append(docs.where(f"coalesce(doc_id, 0) % 3 = {k}"))
+    got = index.settled(docs).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == brute_exact(rows)
+    assert index.read().count() == len({r.text_sha256 for r in got}) and spark.table(index.more).count() > 0
+    copies = next(r.group_size for r in got if r.doc_id == 1)
+    last = index.add(spark.createDataFrame([(99, "text 1"), (98, "new")], DOCS)).collect()
+    assert {r.doc_id: (r.group_size, r.kept) for r in last} == {99: (copies + 1, False), 98: (1, True)}
+
+
 # -- byte BPE
 
 
