@@ -114,3 +114,9 @@ def send(bitmap: Column) -> Column:
     word = lambda w: F.lpad(F.hex(F.aggregate(F.filter(bitmap["bits"], lambda b: F.floor(b / 64) == w), F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(b, F.lit(64)).cast("int"))))), 16, "0")
     words = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), word)).otherwise(F.array().cast("array<string>"))
     return F.lower(F.concat(F.lpad(F.hex(n), 8, "0"), F.array_join(words, "")))
+
+
+def compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 by the highest bit that one of the two has alone."""
+    top = last(difference(a, b))
+    return F.when(top < 0, 0).when(get(a, top), 1).otherwise(-1)

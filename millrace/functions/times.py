@@ -1,8 +1,8 @@
 """Times as BIGINT nanoseconds since 1970-01-01 UTC, as Columns.
 
 Spark's timestamps stop at microseconds, so the nanoseconds are carried apart
-and timestamps made only for calendars and formats. Dates are Gregorian; before
-14 September 1752 they are not supported.
+and timestamps made only for calendars and formats, which are Gregorian; for days
+before 14 September 1752 ``calendar`` has the Julian date.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions import decimals
+
 SECOND = 1_000_000_000
 DECIMAL = "decimal(36,18)"
 
@@ -73,6 +75,16 @@ def difference(a: Column, b: Column) -> Column:
     return (((a - b).cast("decimal(20,0)")) * F.lit("0.000000001").cast("decimal(9,9)")).cast(DECIMAL)
 
 
+def multiply(ns: Column, by: Column) -> Column:
+    """A span of nanoseconds times a decimal, cut toward nought."""
+    return (decimals.truncate(decimals.multiply(as_decimal(ns), by), 9) * F.lit(SECOND).cast("decimal(10,0)")).cast("decimal(38,0)").try_cast("bigint")
+
+
+def divide(ns: Column, by: Column) -> Column:
+    """A span of nanoseconds over a decimal, cut toward nought; by nought is null."""
+    return (decimals.truncate(decimals.divide(as_decimal(ns), by), 9) * F.lit(SECOND).cast("decimal(10,0)")).cast("decimal(38,0)").try_cast("bigint")
+
+
 def seconds(ns: Column) -> Column:
     """Whole seconds, toward nought."""
     return F.call_function("div", ns, F.lit(SECOND).cast("bigint"))
@@ -112,6 +124,25 @@ def parts(ns: Column) -> Column:
     )
 
 
+#: The first Gregorian day, 14 September 1752, as a day since 1970, and the Julian day number of 1970.
+REFORMATION, JULIAN_1970 = -79366, 2440588
+
+
+def calendar(days: Column) -> Column:
+    """year, month, day of a day since 1970: Gregorian from 14 September 1752 on, Julian before."""
+    date = F.date_from_unix_date(days.cast("int"))
+    div = lambda a, b: F.floor(a / b)
+    c = days + JULIAN_1970 + 32082
+    y = div(4 * c + 3, 1461)
+    e = c - div(1461 * y, 4)
+    m = div(5 * e + 2, 153)
+    old = days < REFORMATION
+    return F.struct(
+        F.when(old, y - 4800 + div(m, 10)).otherwise(F.year(date)).cast("int").alias("year"), F.when(old, m + 3 - 12 * div(m, 10)).otherwise(F.month(date)).cast("int").alias("month"),
+        F.when(old, e - div(153 * m + 2, 5) + 1).otherwise(F.day(date)).cast("int").alias("day"),
+    )
+
+
 def weeks(ns: Column) -> Column:
     """Weeks of the year from Monday and from Sunday (both 0 before the first such day), and ISO year, week and day."""
     ts = timestamp(ns)

@@ -49,6 +49,30 @@ def derivatives(instruments: DataFrame) -> tuple[DataFrame, DataFrame]:
     return own.join(under, "underlying", "left"), missing
 
 
+def find_derivatives(probes: DataFrame, instruments: DataFrame, by: Sequence[str] = ("underlying", "mat", "put_call", "strike")) -> DataFrame:
+    """``probes`` with the instruments that have each probe's underlying and maturity, and for options put or call and strike; a null equals itself."""
+    left, right = probes.alias("probe"), instruments.alias("row")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"probe.{c}").eqNullSafe(F.col(f"row.{c}"))
+    return left.join(right, same, "left").select("probe.*", *[F.col(f"row.{c}") for c in instruments.columns if c not in probes.columns])
+
+
+def rescaled(rows: DataFrame, columns: Sequence[str], ndp: str, new_ndp: str) -> DataFrame:
+    """Mantissas brought from ``ndp`` to ``new_ndp`` places, cut where those are fewer; ``ndp`` then holds the new number. A null keeps the old one."""
+    to = F.coalesce(F.col(new_ndp), F.col(ndp))
+    step = F.pow(F.lit(10.0), F.abs(to - F.col(ndp))).cast("bigint")
+    change = lambda c: F.when(to >= F.col(ndp), F.col(c) * step).otherwise(F.call_function("div", F.col(c), step))
+    return rows.withColumns({c: change(c).cast("bigint") for c in columns}).withColumn(ndp, to).drop(new_ndp)
+
+
+def exposure(positions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Long, short, net and gross quantity of positions (side, qty) rolled up to ``keys``."""
+    of = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("qty"))), F.lit(0))
+    sums = positions.groupBy(*keys).agg(of("B").alias("long_qty"), of("S").alias("short_qty"))
+    return sums.withColumn("net_qty", F.col("long_qty") - F.col("short_qty")).withColumn("gross_qty", F.col("long_qty") + F.col("short_qty"))
+
+
 def order_key(scope: str = "scope", order_id: str = "order_id", book: str = "book", side: str = "side") -> Column:
     """The key of an order under its venue's scope of ids: venue, order book, or side of one."""
     return F.when(F.col(scope) == "venue", F.concat_ws("/", "venue", order_id)).when(F.col(scope) == "book", F.concat_ws("/", "venue", book, order_id)).otherwise(F.concat_ws("/", "venue", book, side, order_id))
@@ -297,9 +321,10 @@ def lookup(
     return found
 
 
-def quotes(state: DataFrame, instruments: DataFrame, keys: Sequence[str] = BOOK) -> DataFrame:
-    """The state (level one, or levels) of the books of the instruments asked for, with their symbols."""
-    return state.join(instruments.select(*keys, "symbol").distinct(), list(keys))
+def quotes(state: DataFrame, instruments: DataFrame, keys: Sequence[str] = BOOK, required: bool = True) -> DataFrame:
+    """The state (level one, or levels) of the books of the instruments asked for, with their symbols; instruments without a book stay unless it is ``required``."""
+    asked = instruments.select(*keys, "symbol").distinct()
+    return asked.join(state, list(keys), "inner" if required else "left")
 
 
 def sessions(events: DataFrame, keys: Sequence[str] = ("venue", "segment"), order: str = "seq") -> DataFrame:

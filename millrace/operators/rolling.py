@@ -75,19 +75,25 @@ def histogram(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def ranks(df: DataFrame, value: str, at: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
+def ranks(df: DataFrame, value: str, at: dict[str, float], keys: Sequence[str] = (), parts: int = 32) -> DataFrame:
     """Exact order statistics of each group at floor(p * count).
 
-    They are read off the running counts of the groups' histograms, so no task
-    holds a group's values and repeated values meet before the shuffle.
+    They are read off the running counts of the groups' histograms. A group's
+    values are cut into ``parts`` at approximate quantiles, which says only where
+    a part ends; the counts run within a part and over the parts, so no task
+    holds all values of a group.
     """
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000).alias("_cuts"), F.count(value).alias("_size"))
     counts = histogram(df, value, keys)
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = counts.groupBy(*keys).agg(F.sum("n").alias("_size"))
-    summed = counts.withColumn("_upto", F.sum("n").over(upto))
-    summed = summed.join(whole, list(keys)) if keys else summed.crossJoin(F.broadcast(whole))  # one row
-    place = lambda p: F.floor(F.col("_size") * F.lit(p))
-    return summed.groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") > place(p), F.col(value))).alias(name) for name, p in at.items()])
+    marked = counts.join(cuts, list(keys)) if keys else counts.crossJoin(F.broadcast(cuts))  # one row
+    cut = marked.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    upto = F.sum("n").over(Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    places = {name: F.floor(F.col("_size") * F.lit(p)) for name, p in at.items()}
+    runs = cut.withColumn("_upto", upto)
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = cut.groupBy(*keys, "_part").agg(F.sum("n").alias("_n")).withColumn("_before", before).drop("_n")
+    summed = runs.join(totals, [*keys, "_part"]).withColumn("_upto", F.col("_upto") + F.col("_before"))
+    return summed.groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") > place, F.col(value))).alias(name) for name, place in places.items()])
 
 
 def count_below(df: DataFrame, value: str, probe: Column, keys: Sequence[str] = ()) -> DataFrame:
@@ -127,3 +133,12 @@ def last_slots(df: DataFrame, index: str, size: int, order: str, keys: Sequence[
     highest = last.groupBy(*keys).agg(F.max(index).alias("_highest"))
     joined = last.join(highest, list(keys)) if keys else last.crossJoin(F.broadcast(highest))  # one row
     return joined.where(F.col(index) > F.col("_highest") - size).select(*keys, index, "_row.*")
+
+
+def bit_window(df: DataFrame, index: str, value: str, bits: int, size: int, order: str, keys: Sequence[str] = ()) -> DataFrame:
+    """The last write to each of the highest ``size`` indices as a field of ``bits`` bits, and whether all bits of all fields are set."""
+    top = (1 << bits) - 1
+    fields = last_slots(df.select(*keys, index, F.col(value).bitwiseAND(F.lit(top)).alias(value), order), index, size, order, keys).drop(order)
+    whole = fields.groupBy(*keys).agg((F.count(F.lit(1)) == size).alias("_full"), F.bit_and(value).alias("_and"))
+    marked = fields.join(whole, list(keys)) if keys else fields.crossJoin(F.broadcast(whole))  # one row
+    return marked.withColumn("all_set", F.col("_full") & (F.col("_and") == top)).drop("_full", "_and")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import series
@@ -68,9 +68,19 @@ def timers(df: DataFrame, at: str, step: int, keys: Sequence[str] = ()) -> DataF
     return span.where(F.col("_from") <= F.col("_to")).select(*keys, F.explode(F.sequence("_from", "_to")).alias("_tick")).select(*keys, (F.col("_tick") * step).alias("fires_at"))
 
 
-def paced(df: DataFrame, at: str, speed: float, interval: int, begin: int | None = None) -> DataFrame:
-    """Adds ``due``: when a replay at ``speed`` with ``interval`` between rows would send each row; rows before ``begin`` go."""
+def paced(df: DataFrame, at: str, speed: float, interval: int, begin: int | None = None, width: int | None = None) -> DataFrame:
+    """Adds ``due``: when a replay at ``speed`` with ``interval`` between rows would send each row; rows before ``begin`` go.
+
+    Rows are numbered in blocks of ``width`` of ``at``.
+    """
     kept = df if begin is None else df.where(F.col(at) >= begin)
-    numbered = series.offsets(kept, at, width=None)
+    numbered = series.offsets(kept, at, width=width)
     first = kept.agg(F.min(at).alias("_start"))
     return numbered.crossJoin(F.broadcast(first)).withColumn("due", (F.col(at) - F.col("_start")) / speed + F.col("offset") * interval).drop("_start", "offset")  # one row
+
+
+def after_barrier(df: DataFrame, order: str, barrier: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows from each key's first ``barrier`` row on, as reference data is loaded up to it; a key without one has none."""
+    first = df.where(barrier).groupBy(*keys).agg(F.min(order).alias("_barrier"))
+    joined = df.join(first, list(keys)) if keys else df.crossJoin(F.broadcast(first))  # one row
+    return joined.where(F.col(order) >= F.col("_barrier")).drop("_barrier")

@@ -3,7 +3,8 @@
 A series is a DataFrame ordered by ``order`` within ``keys``. With ``width`` a
 numeric order is cut into blocks of that width, and what must cross a block's
 border (a total, the last row before it) is taken from one row per block; a
-single long series then needs no task that sees all of it.
+single long series then needs no task that sees all of it. A series without keys
+whose order is a number is cut by ``WIDTH`` if no width is given.
 """
 
 from __future__ import annotations
@@ -12,8 +13,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 BLOCK = "_block"
+WIDTH = 1 << 16
+
+
+def _width(df: DataFrame, order: str, keys: Sequence[str], width: int | None) -> int | None:
+    return width or (WIDTH if not keys and isinstance(df.schema[order].dataType, NumericType) else None)
 
 
 def blocks(df: DataFrame, order: str, width: int | None) -> DataFrame:
@@ -22,6 +29,7 @@ def blocks(df: DataFrame, order: str, width: int | None) -> DataFrame:
 
 def running_sum(df: DataFrame, order: str, value: str, name: str, keys: Sequence[str] = (), width: int | None = None) -> DataFrame:
     """Adds ``name``: the sum of ``value`` up to and with each row."""
+    width = _width(df, order, keys, width)
     cut = blocks(df, order, width)
     own = Window.partitionBy(*keys, BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     summed = cut.withColumn(name, F.sum(value).over(own))
@@ -34,6 +42,7 @@ def running_sum(df: DataFrame, order: str, value: str, name: str, keys: Sequence
 
 def previous(df: DataFrame, order: str, value: str, name: str, keys: Sequence[str] = (), width: int | None = None) -> DataFrame:
     """Adds ``name``: ``value`` of the row before, null on the first."""
+    width = _width(df, order, keys, width)
     cut = blocks(df, order, width)
     lagged = cut.withColumn(name, F.lag(value).over(Window.partitionBy(*keys, BLOCK).orderBy(order)))
     if not width:
@@ -134,10 +143,10 @@ def scale_blocks(df: DataFrame, order: str, scale: str, keys: Sequence[str] = ()
     numbered = running_sum(marked.withColumn("_new", new), order, "_new", "_part", keys, width).drop("_previous", "_new")
     if capacity is None:
         return numbered.withColumnRenamed("_part", "blk")
-    within = offsets(numbered, order, [*keys, "_part"]).withColumn("_sub", F.floor(F.col("offset") / capacity)).drop("offset")
-    firsts = within.groupBy(*keys, "_part", "_sub").agg(F.lit(1).alias("_one"))
-    ids = firsts.withColumn("blk", F.row_number().over(Window.partitionBy(*keys).orderBy("_part", "_sub")).cast("long") - 1).drop("_one")
-    return within.join(ids, [*keys, "_part", "_sub"]).drop("_part", "_sub")
+    within = offsets(numbered, order, [*keys, "_part"], _width(df, order, keys, width)).withColumn("_sub", F.floor(F.col("offset") / capacity)).drop("offset")
+    parts = within.groupBy(*keys, "_part").agg((F.max("_sub") + 1).alias("_n"))
+    ends = running_sum(parts, "_part", "_n", "_end", keys).withColumn("_first", F.col("_end") - F.col("_n"))
+    return within.join(ends.select(*keys, "_part", "_first"), [*keys, "_part"]).withColumn("blk", F.col("_first") + F.col("_sub")).drop("_part", "_sub", "_first")
 
 
 def purge(df: DataFrame, offset: int) -> tuple[DataFrame, DataFrame]:

@@ -222,6 +222,14 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.current(spark, f"{path}/rows", ["user_id"], "event_id")
 
 
+@query("SELECT event_id, user_id, event_type FROM events")
+def stream_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event stream persisted as it comes."""
+    path = shared_path(spark, "record")
+    jobs.record(_stream(spark, sf_dir).select("event_id", "user_id", "event_type"), f"{path}/rows", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/rows")
+
+
 @query("""
 WITH w AS (SELECT event_type, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS hour, count(*) AS n FROM events GROUP BY ALL)
 SELECT * FROM w WHERE (hour + 1) * 3600000000 <= (SELECT max(epoch_us(ts)) - 3600000000 FROM events)""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -25,9 +26,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one only where none is set."""
+    """A new path in the folder that driver and executors share; where none is set, a temporary one in local mode alone."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own_root:
             _own_root.append(tempfile.mkdtemp(prefix="millrace-"))
         root = _own_root[0]

@@ -181,10 +181,11 @@ def asof_forward_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT event_id, lead(event_id) OVER (ORDER BY event_id) AS nx FROM events WHERE event_id % 7 <> 3)
-SELECT event_id + 1 AS gap_key, nx - event_id - 1 AS gap_length FROM n WHERE nx - event_id > 1""")
+WITH n AS (SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS nx FROM events)
+SELECT user_id, event_id + 1 AS gap_key, nx - event_id - 1 AS gap_length FROM n WHERE nx - event_id > 1""")
 def seq_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.gaps(events(spark, sf_dir, "event_id").where("event_id % 7 <> 3"), "event_id", width=WIDTH)
+    """What is missing between each user's numbers."""
+    return series.gaps(events(spark, sf_dir, "event_id", "user_id"), "event_id", ["user_id"], width=WIDTH)
 
 
 @query("""
@@ -219,9 +220,27 @@ def purge_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.purge(_blocks(spark, sf_dir), 500)[0].select("event_id", "ndp", "offset", "blk")
 
 
+@query("""
+WITH r AS (SELECT user_id, event_id % 64 AS slot, arg_max(event_id & 3, event_id) AS field FROM events GROUP BY ALL),
+h AS (SELECT user_id, max(event_id % 64) AS highest FROM events GROUP BY user_id),
+f AS (SELECT user_id, slot, field FROM r JOIN h USING (user_id) WHERE slot > highest - 2)
+SELECT user_id, slot, field, count(*) OVER w = 2 AND min(field) OVER w = 3 AS all_set FROM f WINDOW w AS (PARTITION BY user_id)""")
+def bit_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of two bits in the two highest slots of each user."""
+    rows = events(spark, sf_dir, "user_id", (F.col("event_id") % 64).alias("slot"), F.col("event_id").alias("field"), "event_id")
+    return rolling.bit_window(rows, "slot", "field", 2, 2, "event_id", ["user_id"])
+
+
 # -- sequences
 
 
+@query("WITH b AS (SELECT user_id, min(event_id) AS b FROM events WHERE event_type = 'signup' GROUP BY user_id) SELECT e.user_id, event_id, value FROM events e JOIN b ON e.user_id = b.user_id WHERE event_id >= b")
+def after_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events from the first signup on."""
+    rows = events(spark, sf_dir, "user_id", "event_id", "value", "event_type")
+    return sequence.after_barrier(rows, "event_id", F.col("event_type") == "signup", ["user_id"]).drop("event_type")
+
+
 @query("SELECT event_id, any_value(value) AS value FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 3 = 0) WHERE event_id >= 10 GROUP BY event_id")
 def dedup_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir, "event_id", "value")
@@ -250,13 +269,16 @@ def kway_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT user_id, max(event_id) AS taken FROM events WHERE event_id < 500 GROUP BY user_id)
-SELECT user_id, event_id, value FROM events WHERE event_id < 500
-UNION ALL SELECT e.user_id, e.event_id, e.value FROM (SELECT * FROM events WHERE event_id >= 300) e LEFT JOIN t ON e.user_id = t.user_id WHERE taken IS NULL OR e.event_id > taken""")
+WITH m AS (SELECT min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS b FROM events),
+s AS (SELECT user_id, event_id, value FROM events, m WHERE epoch_us(ts) < a + (b - a) // 2),
+t AS (SELECT user_id, max(event_id) AS taken FROM s GROUP BY user_id)
+SELECT * FROM s UNION ALL SELECT e.user_id, e.event_id, e.value FROM events e LEFT JOIN t ON e.user_id = t.user_id WHERE taken IS NULL OR e.event_id > taken""")
 def hand_over(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir, "user_id", "event_id", "value")
-    snapshot = rows.where("event_id < 500").withColumn("taken_at", F.col("event_id"))
-    return sequence.hand_over(snapshot, rows.where("event_id >= 300"), "event_id", "taken_at", ["user_id"])
+    """A snapshot of the first half of the time, and all events as increments."""
+    rows = events(spark, sf_dir, "user_id", "event_id", "value", "ts")
+    ends = rows.agg(F.min(micros()).alias("a"), F.max(micros()).alias("b"))
+    first = rows.crossJoin(F.broadcast(ends)).where(micros() < F.col("a") + F.expr("(b - a) div 2"))  # one row
+    return sequence.hand_over(first.select("user_id", "event_id", "value", F.col("event_id").alias("taken_at")), rows.drop("ts"), "event_id", "taken_at", ["user_id"])
 
 
 @query("""
@@ -278,4 +300,4 @@ def timers(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH r AS (SELECT event_id, event_id * 3 AS sent FROM events WHERE event_id * 3 >= 30)
 SELECT event_id, sent, (sent - (SELECT min(sent) FROM r)) / 2.0::DOUBLE + (row_number() OVER (ORDER BY sent) - 1) * 5 AS due FROM r""")
 def paced_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.paced(events(spark, sf_dir, "event_id", (F.col("event_id") * 3).alias("sent")), "sent", 2.0, 5, begin=30)
+    return sequence.paced(events(spark, sf_dir, "event_id", (F.col("event_id") * 3).alias("sent")), "sent", 2.0, 5, begin=30, width=WIDTH * 3)

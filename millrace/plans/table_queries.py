@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from millrace.functions import bitmaps, decimals, texts, times
 from millrace.operators import keyed, market
+from millrace.operators import orders as orders_
 from millrace.plans.registry import query, shared_path
 from millrace.plans.series_queries import events, micros
 from millrace.sources import tables
@@ -107,12 +110,12 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, 0 AS _un, 0 AS _vn FROM orders
-UNION ALL SELECT DISTINCT l_orderkey + 1000000000, l_partkey % 10, 1.0, 'N', 5, 0 FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 10 = 3""")
+UNION ALL SELECT o_orderkey + 1000000000, o_custkey, 1.0, 'N', 5, 0 FROM orders""")
 def insert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New orders; those of existing or repeated keys are rejected."""
     stored = _stored(spark, sf_dir)
-    fresh = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_partkey % 10 = 3").select((F.col("l_orderkey") + 1_000_000_000).alias("o_orderkey"), (F.col("l_partkey") % 10).alias("o_custkey")).distinct()
-    again = orders(spark, sf_dir).where("o_orderkey % 3 = 0").select("o_orderkey", F.lit(-1).cast("long").alias("o_custkey"))
+    fresh = orders(spark, sf_dir, (F.col("o_orderkey") + 1_000_000_000).alias("o_orderkey"), "o_custkey")
+    again = orders(spark, sf_dir).select("o_orderkey", F.lit(-1).cast("long").alias("o_custkey"))
     new = fresh.unionByName(again).withColumns({"o_totalprice": F.lit(1.0), "o_orderstatus": F.lit("N"), "_un": F.lit(5).cast("long")})
     return keyed.insert(stored, new, ORDERS)[0]
 
@@ -219,11 +222,11 @@ def order_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT l_orderkey AS combo, list(l_partkey ORDER BY l_linenumber, l_partkey) AS ids FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linenumber <= 2) GROUP BY 1),
+WITH c AS (SELECT l_orderkey AS combo, list(l_partkey ORDER BY l_linenumber, l_partkey) AS ids FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) GROUP BY 1),
 e AS (SELECT combo, unnest(ids) AS leg_id, unnest(range(len(ids))) AS leg FROM c)
 SELECT combo, CAST(leg AS INTEGER) AS leg, leg_id, CASE leg % 2 WHEN 0 THEN 'B' ELSE 'S' END AS side, leg + 1 AS ratio, p_brand FROM e LEFT JOIN part ON leg_id = p_partkey""")
 def combination_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
     ids = rows.groupBy(F.col("l_orderkey").alias("combo")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("leg_ids"))
     places = F.sequence(F.lit(0), F.size("leg_ids") - 1)
     combos = ids.withColumns({"sides": F.transform(places, lambda i: F.when(i % 2 == 0, "B").otherwise("S")), "ratios": F.transform(places, lambda i: i.cast("long") + 1)})
@@ -361,3 +364,118 @@ def bitmap_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     size = lambda m: F.size(m["bits"])
     return rows.select("user_id", size(bitmaps.union(a, b)).alias("n_or"), size(bitmaps.intersection(a, b)).alias("n_and"), size(bitmaps.difference(a, b)).alias("n_xor"), size(bitmaps.flip(a)).cast("long").alias("n_flip"), bitmaps.first(a).alias("first"), bitmaps.last(a).alias("last"))
+
+
+# -- stores, reference data, sessions
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, 'parquet' AS store FROM nation UNION ALL SELECT n_nationkey, n_name, n_regionkey, 'memory' FROM nation UNION ALL SELECT n_nationkey + 100, n_name, n_regionkey, 'memory' FROM nation")
+def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations written to stores of two kinds and read again, one of them in two batches."""
+    spec, rows = TableSpec("nation", (KeySpec(("n_nationkey",)),)), table(spark, sf_dir, "nation")
+    parquet, memory = tables.ParquetStore(spark, shared_path(spark, "store")), tables.MemoryStore()
+    parquet.write(spec, rows)
+    for batch in (rows, rows.withColumn("n_nationkey", F.col("n_nationkey") + 100)):
+        memory.write(spec, batch)
+    return parquet.read(spec).withColumn("store", F.lit("parquet")).unionByName(memory.read(spec).withColumn("store", F.lit("memory")))
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE ts >= (SELECT min(ts) + (max(ts) - min(ts)) / 4 FROM events) AND ts < (SELECT max(ts) FROM events)")
+def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recorded events from a quarter of their time on, without the last moment."""
+    span = table(spark, sf_dir, "events").agg(F.min("ts"), F.max("ts")).first()  # one row
+    begin = span[0] + (span[1] - span[0]) / 4
+    return tables.replay(spark, f"{sf_dir}/events.parquet", "ts", begin, span[1]).select("event_id", "user_id", "value")
+
+
+@query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders")
+def clustered_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in a table of the catalog that is clustered by its key."""
+    spec = TableSpec(f"orders_{uuid.uuid4().hex}", (KeySpec(("o_orderkey",)),))
+    rows = orders(spark, sf_dir, "o_orderkey", "o_orderdate", "o_totalprice")
+    tables.create(spark, spec, rows.schema)
+    rows.write.format("parquet").bucketBy(64, "o_orderkey").sortBy("o_orderkey").mode("append").saveAsTable(spec.name)
+    return spark.table(spec.name)
+
+
+def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as instruments: brands are symbols, sizes venues and segments, keys maturities, strikes, puts and calls."""
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        key.alias("id"), F.col("p_brand").alias("symbol"), F.concat(F.lit("V"), (F.col("p_size") % 3).cast("string")).alias("venue"), F.concat(F.lit("S"), (F.col("p_size") % 2).cast("string")).alias("segment"),
+        (key % 12).alias("mat"), F.when(key % 3 > 0, F.when(key % 3 == 1, "P").otherwise("C")).alias("put_call"), F.when(key % 3 > 0, key % 5).alias("strike"), F.col("p_size").alias("underlying"),
+    )
+
+
+_INSTRUMENTS = "i AS (SELECT p_partkey AS id, p_brand AS symbol, 'V' || (p_size % 3) AS venue, 'S' || (p_size % 2) AS segment, p_partkey % 12 AS mat, CASE p_partkey % 3 WHEN 1 THEN 'P' WHEN 2 THEN 'C' END AS put_call, CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 5 END AS strike, p_size AS underlying FROM part)"
+
+
+@query(f"WITH {_INSTRUMENTS} SELECT * FROM i WHERE symbol IN ('Brand#1', 'Brand#2', 'Brand#12', 'Brand#23') AND venue = 'V1' AND segment = 'S1' AND put_call = 'C'")
+def instrument_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.lookup(instruments(spark, sf_dir), ["Brand#1", "Brand#2", "Brand#12", "Brand#23"], venue="V1", segment="S1", put_call="C")
+
+
+@query(f"""
+WITH {_INSTRUMENTS}, p AS (SELECT DISTINCT l_suppkey % 50 AS underlying, l_partkey % 12 AS mat, CASE l_partkey % 3 WHEN 1 THEN 'P' WHEN 2 THEN 'C' END AS put_call, CASE WHEN l_partkey % 3 > 0 THEN l_partkey % 5 END AS strike FROM lineitem)
+SELECT p.*, i.id, i.symbol FROM p LEFT JOIN i ON p.underlying = i.underlying AND p.mat = i.mat AND p.put_call IS NOT DISTINCT FROM i.put_call AND p.strike IS NOT DISTINCT FROM i.strike""")
+def derivative_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Futures by underlying and maturity, options by put or call and strike too."""
+    key = F.col("l_partkey")
+    probes = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("underlying"), (key % 12).alias("mat"), F.when(key % 3 > 0, F.when(key % 3 == 1, "P").otherwise("C")).alias("put_call"), F.when(key % 3 > 0, key % 5).alias("strike")).distinct()
+    return market.find_derivatives(probes, instruments(spark, sf_dir).select("id", "symbol", "underlying", "mat", "put_call", "strike"))
+
+
+_STATE = "s AS (SELECT l_partkey AS id, max(l_extendedprice) AS high, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)"
+
+
+@query(f"WITH {_INSTRUMENTS}, {_STATE} SELECT id, symbol, high, n, true AS required FROM i JOIN s USING (id) WHERE venue = 'V2' UNION ALL SELECT id, symbol, high, n, false FROM i LEFT JOIN s USING (id) WHERE venue = 'V2'")
+def book_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The books of a venue's instruments, required and not."""
+    state = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("id")).agg(F.max("l_extendedprice").alias("high"), F.count(F.lit(1)).alias("n"))
+    asked = market.lookup(instruments(spark, sf_dir), venue="V2")
+    one = lambda required: market.quotes(state, asked, ["id"], required).withColumn("required", F.lit(required))
+    return one(True).unionByName(one(False))
+
+
+@query("SELECT user_id % 5 AS venue, user_id % 3 AS segment, arg_max(event_type, event_id) AS session, max(event_id) AS since FROM events GROUP BY ALL")
+def session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir, (F.col("user_id") % 5).alias("venue"), (F.col("user_id") % 3).alias("segment"), F.col("event_type").alias("session"), F.col("event_id").alias("seq"))
+    return market.sessions(rows)
+
+
+@query("SELECT o_orderkey AS order_id, o_custkey, o_orderstatus = 'F' AS closed FROM orders")
+def closed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that have ended move to the closed table."""
+    rows = orders(spark, sf_dir, F.col("o_orderkey").alias("order_id"), "o_custkey")
+    states = orders(spark, sf_dir, F.col("o_orderkey").alias("order_id"), F.when(F.col("o_orderstatus") == "F", F.when(F.col("o_orderkey") % 2 == 0, orders_.CLOSED).otherwise(orders_.REJECTED)).otherwise(orders_.ACKED).alias("new"))
+    left, gone = orders_.close(rows, states)
+    return left.withColumn("closed", F.lit(False)).unionByName(gone.withColumn("closed", F.lit(True)))
+
+
+@query("""
+WITH r AS (SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS px, CASE WHEN p_size % 4 < 3 THEN p_size % 4 + 1 END AS to_ndp FROM part)
+SELECT p_partkey, CASE WHEN to_ndp IS NULL OR to_ndp = 2 THEN px WHEN to_ndp = 1 THEN px // 10 ELSE px * 10 END AS px, coalesce(to_ndp, 2)::INTEGER AS ndp FROM r""")
+def rescaled_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of two places whose instruments change to one or three."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.round(F.col("p_retailprice") * 100).cast("bigint").alias("px"), F.lit(2).alias("ndp"), F.when(F.col("p_size") % 4 < 3, F.col("p_size") % 4 + 1).cast("int").alias("to_ndp"))
+    return market.rescaled(rows, ["px"], "ndp", "to_ndp")
+
+
+@query("""
+WITH p AS (SELECT l_partkey % 20 AS asset, l_suppkey % 4 AS venue, CAST(coalesce(sum(l_quantity) FILTER (l_linestatus = 'O'), 0) AS BIGINT) AS long_qty, CAST(coalesce(sum(l_quantity) FILTER (l_linestatus <> 'O'), 0) AS BIGINT) AS short_qty FROM lineitem GROUP BY ALL)
+SELECT *, long_qty - short_qty AS net_qty, long_qty + short_qty AS gross_qty FROM p""")
+def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 20).alias("asset"), (F.col("l_suppkey") % 4).alias("venue"), F.when(F.col("l_linestatus") == "O", "B").otherwise("S").alias("side"), F.col("l_quantity").cast("bigint").alias("qty"))
+    return market.exposure(rows, ["asset", "venue"])
+
+
+@query("""
+WITH d AS (SELECT event_id, -79366 + (CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END) * event_id * 37 AS days FROM events),
+c AS (SELECT *, days + 2440588 + 32082 AS c FROM d), y AS (SELECT *, (4 * c + 3) // 1461 AS y FROM c), e AS (SELECT *, c - 1461 * y // 4 AS e FROM y), m AS (SELECT *, (5 * e + 2) // 153 AS m FROM e)
+SELECT event_id, CAST(CASE WHEN days < -79366 THEN y - 4800 + m // 10 ELSE year(DATE '1970-01-01' + days::INTEGER) END AS INTEGER) AS year, CAST(CASE WHEN days < -79366 THEN m + 3 - 12 * (m // 10) ELSE month(DATE '1970-01-01' + days::INTEGER) END AS INTEGER) AS month,
+       CAST(CASE WHEN days < -79366 THEN e - (153 * m + 2) // 5 + 1 ELSE day(DATE '1970-01-01' + days::INTEGER) END AS INTEGER) AS day FROM m""")
+def old_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days on both sides of the calendar's reformation."""
+    n = F.col("event_id")
+    days = F.lit(times.REFORMATION) + F.when(n % 2 == 0, 1).otherwise(-1) * n * 37
+    return events(spark, sf_dir, "event_id").select("event_id", times.calendar(days).alias("d")).select("event_id", "d.*")

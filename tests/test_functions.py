@@ -32,6 +32,43 @@ def test_decimal_arithmetic(spark):
     assert got == (Decimal(2000), Decimal("-0.166666666666666666"), None, Decimal("-0.666666666666666666"), None, None, Decimal(-42), Decimal(-3), Decimal("-0.01"), 2, None, Decimal(2), -1, Decimal("-1.99"))
 
 
+def test_products_and_quotients_against_whole_numbers(spark):
+    import random
+
+    draw, shift = random.Random(1), 10**18
+    number = lambda: draw.randint(-(10 ** draw.randint(1, 36)), 10 ** draw.randint(1, 36))
+    rows = [(number(), number(), draw.randint(-(10**9), 10**9)) for _ in range(500)] + [(10**36 - 1, 10**36 - 1, 1), (1, 10**36 - 1, 7), (-(10**36) + 1, shift, -1), (5, 5, 0)]
+    as_dec = lambda m: Decimal(f"{'-' if m < 0 else ''}{abs(m) // shift}.{abs(m) % shift:018}")
+    df = spark.createDataFrame([(i, as_dec(a), as_dec(b), n) for i, (a, b, n) in enumerate(rows)], "i int, a decimal(36,18), b decimal(36,18), n long")
+    cut = lambda a, b: (abs(a) // abs(b)) * (1 if (a < 0) == (b < 0) else -1)
+    mantissa = lambda x: None if x is None else int(x.as_tuple().sign * -2 + 1) * int("".join(map(str, x.as_tuple().digits))) * 10 ** (x.as_tuple().exponent + 18)
+    for r in df.select("i", decimals.multiply(F.col("a"), F.col("b")).alias("p"), decimals.divide_whole(F.col("a"), F.col("n")).alias("q")).collect():
+        a, b, n = rows[r.i]
+        product = cut(a * b, shift)
+        assert mantissa(r.p) == (product if abs(product) < 10**36 else None)
+        assert mantissa(r.q) == (cut(a, n) if n else None)
+
+
+def test_fixed_point_text_and_nearness(spark):
+    assert one(spark, decimals.fixed_parse(F.lit("-42.019"), 2), decimals.fixed_parse(F.lit("x"), 2), decimals.fixed_text(F.lit(-4201), 2), decimals.fixed_divide(F.lit(100), F.lit(300), 2), decimals.fixed_divide(F.lit(100), F.lit(0), 2)) == (-4201, None, "-42.01", 33, None)
+    assert one(spark, decimals.nearly(F.lit(0.1) + 0.2, F.lit(0.3)), decimals.nearly(F.lit(1.0), F.lit(1.001)), decimals.nearly(F.lit(0.0), F.lit(0.0))) == (True, False, True)
+
+
+def test_old_calendar(spark):
+    days = lambda n: times.calendar(F.lit(n))
+    assert [tuple(one(spark, days(n))) for n in (times.REFORMATION, times.REFORMATION - 1, 0, times.REFORMATION - 13)] == [(1752, 9, 14), (1752, 9, 2), (1970, 1, 1), (1752, 8, 21)]
+    assert one(spark, times.multiply(F.lit(-3), dec("0.5")), times.divide(F.lit(10**9), dec("3")), times.divide(F.lit(1), dec("0"))) == (-1, 333_333_333, None)
+
+
+def test_arrays_and_bitmap_order(spark):
+    from millrace.functions import arrays
+
+    v = F.array(F.lit(3), F.lit(None), F.lit(5))
+    assert one(spark, arrays.show(v), arrays.element(v, F.lit(9)), arrays.element(v, F.lit(-1)), arrays.search(v, F.lit(5)), arrays.show(arrays.splice(v, 0, 2, F.array(F.lit(8))))) == ("[3, , 5]", None, None, 2, "[8, 5]")
+    m = lambda text: bitmaps.parse(F.lit(text))
+    assert one(spark, bitmaps.compare(m("0-5"), m("6")), bitmaps.compare(m("1,9"), m("0,9")), bitmaps.compare(m("3"), m("3"))) == (-1, 1, 0)
+
+
 def test_decimal_aggregates(spark):
     df = spark.createDataFrame([(Decimal(1),), (None,), (Decimal(2),), (Decimal(5),), (Decimal(6),)], "x decimal(36,18)")
     assert df.agg(decimals.total(F.col("x")), decimals.mean(F.col("x"))).first() == (Decimal(14), Decimal("3.5"))
