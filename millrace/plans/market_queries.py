@@ -196,9 +196,31 @@ def order_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.roll_up(fills, own)
 
 
-@query()
+_OPEN = "IN ('D', 'Q', 'S', 'P')"
+
+
+@query(f"""
+WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events),
+e AS (SELECT user_id || '-' || (n // 12) AS order_id, ['new', 'sent', 'ordered', 'fill', 'modify', 'mod_sent', 'modified', 'fill', 'cancel', 'cxl_sent', 'canceled', 'cxl_reject', 'closed'][n % 12 + 1 + (event_id % 7 = 0)::INTEGER] AS k,
+             (event_id % 50 + 1)::DOUBLE AS eq, row_number() OVER (PARTITION BY user_id, n // 12 ORDER BY event_id) AS i FROM p),
+s AS (
+    SELECT DISTINCT order_id, 0::BIGINT AS i, 'U' AS new, 'U' AS mod, 'U' AS cxl, NULL::DOUBLE AS qty, NULL::DOUBLE AS mod_qty, 0::DOUBLE AS cum, 0::DOUBLE AS value, 0 AS odd FROM e
+    UNION ALL
+    SELECT order_id, i,
+           CASE WHEN k = 'new' AND new = 'U' THEN 'Q' WHEN k = 'sent' AND new = 'Q' THEN 'S' WHEN k = 'reject' AND NOT done THEN 'X' WHEN k = 'closed' THEN 'C' WHEN k = 'canceled' AND NOT done THEN 'C' WHEN may_cxl AND new = 'H' THEN 'C'
+                WHEN (k IN ('ordered', 'canceled', 'fill') OR k = 'modified' AND om) AND new IN ('H', 'Q', 'S') THEN 'A' ELSE new END,
+           CASE WHEN may_mod THEN CASE WHEN new IN ('Q', 'S') THEN 'D' ELSE 'Q' END WHEN k = 'mod_sent' AND mod = 'Q' THEN 'S' WHEN k = 'ordered' AND mod = 'D' THEN 'Q' WHEN k = 'modified' AND om THEN 'A'
+                WHEN (k IN ('mod_reject', 'reject', 'canceled', 'closed') OR may_cxl) AND om THEN 'X' ELSE mod END,
+           CASE WHEN may_cxl AND new <> 'H' THEN CASE WHEN new IN ('Q', 'S') THEN 'D' ELSE 'Q' END WHEN k = 'cxl_sent' AND cxl = 'Q' THEN 'S' WHEN k = 'ordered' AND cxl = 'D' THEN 'Q' WHEN k = 'canceled' AND oc THEN 'A'
+                WHEN k IN ('cxl_reject', 'reject', 'closed') AND oc THEN 'X' ELSE cxl END,
+           CASE WHEN k = 'new' AND new = 'U' THEN eq WHEN k = 'modified' AND om THEN coalesce(mod_qty, qty) ELSE qty END, CASE WHEN may_mod THEN eq ELSE mod_qty END,
+           cum + CASE WHEN k = 'fill' THEN eq ELSE 0 END, value + CASE WHEN k = 'fill' THEN eq * 10 ELSE 0 END,
+           odd + (k = 'new' AND new <> 'U' OR k = 'ordered' AND new NOT IN ('H', 'Q', 'S') OR k = 'modify' AND NOT may_mod OR k = 'cancel' AND NOT may_cxl OR k IN ('modified', 'mod_reject') AND NOT om OR k = 'cxl_reject' AND NOT oc OR k IN ('canceled', 'reject') AND done)::INTEGER
+    FROM (SELECT *, k = 'modify' AND new IN ('H', 'Q', 'S', 'A') AND NOT om AND NOT oc AS may_mod, k = 'cancel' AND new IN ('S', 'Q', 'A', 'H') AND NOT oc AS may_cxl
+          FROM (SELECT s.* EXCLUDE (i), e.i, k, eq, new IN ('C', 'X') AS done, mod {_OPEN} AS om, cxl {_OPEN} AS oc FROM s JOIN e ON s.order_id = e.order_id AND e.i = s.i + 1)))
+SELECT order_id, new, mod, cxl, qty, cum, value, CASE WHEN new IN ('C', 'X') THEN 0 ELSE greatest(coalesce(qty, 0) - cum, 0) END AS leaves, odd FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY i DESC) AS place FROM s) WHERE place = 1""")
 def order_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Life cycles of orders made from events; the tests check the transitions one by one."""
+    """Life cycles of orders made from events; the SQL goes from state to state, and the tests check the transitions one by one."""
     kinds = F.array(*[F.lit(k) for k in ("new", "sent", "ordered", "fill", "modify", "mod_sent", "modified", "fill", "cancel", "cxl_sent", "canceled", "cxl_reject", "closed")])
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
     rows = events(spark, sf_dir, "user_id", "event_id").withColumn("n", place)
@@ -222,6 +244,16 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.current(spark, f"{path}/rows", ["user_id"], "event_id")
 
 
+@query("""
+WITH n AS (SELECT user_id, event_id, min(event_id) OVER (PARTITION BY user_id) AS m, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events)
+SELECT user_id, event_id AS seq, CAST(NULL AS BIGINT) AS gap_key, CAST(NULL AS BIGINT) AS gap_length FROM n WHERE event_id - m = n""")
+def stream_sequenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's numbers as far as they are without a gap; what comes after one waits for it to be filled."""
+    path = shared_path(spark, "sequenced")
+    jobs.record(jobs.sequenced(_stream(spark, sf_dir).select("user_id", "event_id"), "user_id", "event_id"), f"{path}/rows", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/rows")
+
+
 @query("SELECT event_id, user_id, event_type FROM events")
 def stream_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream persisted as it comes."""
