@@ -36,11 +36,15 @@ def segments_of(url: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda s: s != "")
 
 
-def keys_of(url: Column, depth: int) -> Column:
-    """The patterns that cover ``url``: its host, all domains above it, the host with 1 to ``depth`` path segments."""
+def keys_of(url: Column, depth: int, tops: bool = True) -> Column:
+    """The patterns that cover ``url``: its host, all domains above it, the host with 1 to ``depth`` path segments.
+
+    Without ``tops`` domains of one label are left out unless they are a host.
+    """
     host, parts = host_of(url), segments_of(url)
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    domains = domains if tops else F.filter(domains, lambda d: d.contains(".") | (d == host))
     n = F.least(F.size(parts), F.lit(depth))
     prefixes = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")))
     paths = F.when(n > 0, prefixes).otherwise(F.array().cast("array<string>"))
@@ -85,11 +89,12 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     name are replaced; empty tables give no rows or no hits.
     """
     listed = cut(intervals(entries), "intervals")
-    depth = listed.agg(F.max(F.size(F.split("pattern", "/"))) - 1).first()[0] or 0
+    # a domain that all captures have in common is a key only if some entry lists such a one
+    depth, tops = listed.agg(F.max(F.size(F.split("pattern", "/"))) - 1, F.max(~F.col("pattern").rlike("[./]"))).first()
     kept = [c for c in captures.columns if c not in ("n_active", "lists", "pattern", "blocked")]
     distinct = cut(captures.where("url is not null and day is not null").select("url", F.to_date("day").alias("day")).distinct(), "url-days")
     first, last = distinct.agg(F.min("day"), F.max("day")).first()
-    keyed = distinct.select("url", "day", F.explode(keys_of(F.col("url"), int(depth))).alias("key")).withColumn("month", month_no(F.col("day")))
+    keyed = distinct.select("url", "day", F.explode(keys_of(F.col("url"), int(depth or 0), bool(tops))).alias("key")).withColumn("month", month_no(F.col("day")))
     # an interval is cut at the captures' first and last day, so an open one has no more months than they span
     first_day, last_day = F.lit(first).cast("date"), F.lit(last).cast("date")
     begin, end = F.greatest("begin", first_day), F.least(F.coalesce(F.date_sub("end", 1), last_day), last_day)

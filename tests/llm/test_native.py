@@ -106,3 +106,9 @@ def test_paths_keep_their_case(spark):
     got = {r.id: (r.pattern, r.blocked) for r in url_lists.judge(captures, listed).collect()}
     news, more, none = ("b.org/News", True), ("b.org/a/B\nc", True), (None, False)
     assert got == {1: news, 2: news, 3: none, 4: more, 5: none}
+
+
+def test_domains_of_one_label(spark):
+    captures = spark.createDataFrame([(1, "http://a.example.com/", date(2024, 1, 5)), (2, "http://localhost/x", date(2024, 1, 5)), (3, "http://b.org/", date(2024, 1, 5))], "id int, url string, day date")
+    got = lambda *patterns: {r.id for r in url_lists.judge(captures, entries(spark, [("l", "block", p, (1, 1), 1, "add") for p in patterns])).where("blocked").collect()}
+    assert (got("com"), got("localhost"), got("b.org"), got("com", "b.org")) == ({1}, {2}, {3}, {1, 3})
