@@ -19,6 +19,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,9 @@ from millrace.llm.common import crc_mod, cut, word_tokens
 PREFIXES = (4, 5)
 #: A word or prefix makes up much of a text from two occurrences and one in so many words on.
 MUCH = 200
-#: What the G statistic of a feature that has nothing to do with toxicity exceeds once in a thousand.
-SIGNIFICANT = 10.83
 #: Adam's usual decay rates; decays of the weights to choose from, and the folds to choose by.
 ADAM = (0.9, 0.999)
-DECAYS, FOLDS = (1e-5, 1e-4, 1e-3), 2
+DECAYS, FOLDS = (1e-6, 1e-5, 1e-4, 1e-3), 2
 
 
 def doc_features(text: str | None) -> set[bytes]:
@@ -107,17 +106,22 @@ def fit_nnpu(pos: Rows, unl: Rows, width: int, prior: float, steps: int = 200, r
     return w
 
 
-def chosen_decay(pos: Rows, unl: Rows, width: int, prior: float) -> float:
-    """The decay with the least risk on rows that the fit has not seen."""
-    folds = [np.arange(len(x.sizes)) % FOLDS for x in (pos, unl)]
-    if min(len(f) for f in folds) < 10 * FOLDS:
+def chosen_decay(pos: Rows, unl: Rows, folds: tuple[np.ndarray, np.ndarray], confirmed: np.ndarray, width: int) -> float:
+    """The decay with the least risk on rows that the fit has not seen.
+
+    A text is in the same fold of both sets, and a fold's prior is the share of
+    its unlabelled rows that are ``confirmed`` positives, so that their part of
+    the risk cancels but for chance.
+    """
+    if any((f == k).sum() < 10 for f in folds for k in range(FOLDS)):
         return DECAYS[1]
 
     def risk(decay: float) -> float:
         total = 0.0
         for k in range(FOLDS):
-            w = fit_nnpu(*(x.some(f != k) for x, f in zip((pos, unl), folds, strict=True)), width, prior, decay=decay)
-            toxic, rest, *_ = risks(w, *(x.some(f == k) for x, f in zip((pos, unl), folds, strict=True)), prior)
+            share = lambda chosen: min(0.9, max(0.001, float(confirmed[chosen].mean())))
+            w = fit_nnpu(*(x.some(f != k) for x, f in zip((pos, unl), folds, strict=True)), width, share(folds[1] != k), decay=decay)
+            toxic, rest, *_ = risks(w, *(x.some(f == k) for x, f in zip((pos, unl), folds, strict=True)), share(folds[1] == k))
             total += toxic + max(0.0, rest)
         return total
 
@@ -126,7 +130,7 @@ def chosen_decay(pos: Rows, unl: Rows, width: int, prior: float) -> float:
 
 def g_statistic(p: Column, n_pos: int, u: Column, n_unl: int) -> Column:
     """How far a feature's counts in both sets are from those of one rate: twice the gain in log likelihood."""
-    share = (p + u) / (n_pos + n_unl)
+    share = (p + u) / max(1, n_pos + n_unl)
 
     def gain(k: Column, n: int) -> Column:
         own = F.when(k > 0, k * F.log(k / (n * share))).otherwise(0.0)
@@ -135,13 +139,14 @@ def g_statistic(p: Column, n_pos: int, u: Column, n_unl: int) -> Column:
     return 2 * (gain(p, n_pos) + gain(u, n_unl))
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: int = 6000, support: int = 4, significant: float = SIGNIFICANT) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: int = 6000, support: int = 3, by_chance: float = 3.0) -> ToxicityModel:
     """Fits the model on labelled texts whose crc32(doc_id) mod 3 is not 1.
 
     At most ``positives`` toxic and ``unlabelled`` other rows of ``labels`` are
     used, those with the smallest hash of their id; only their ids and those
-    features reach the driver that ``support`` of them have and whose rates in
-    both sets differ by a G statistic of ``significant`` or more, for or against
+    features reach the driver that ``support`` of them have and whose rates, in
+    the positives and in the other rows that are none of them, differ more than
+    chance makes those of ``by_chance`` of all features differ, for or against
     toxicity. Labels that are null count as missing. Without a toxic row there is nothing to learn and every
     text gets the low score of the bias.
     """
@@ -164,20 +169,28 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: i
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("is_pos"), pa.array(features, pa.list_(pa.binary()))], ["doc_id", "is_pos", "features"])
 
     rows = cut(sample.mapInArrow(found, f"doc_id {id_type}, is_pos int, features array<binary>").withColumn("row", F.monotonically_increasing_id()), "sample-features")
-    each = rows.select("row", "is_pos", F.explode("features").alias("feature"))
-    n_pos, n_unl = (rows.where(f"is_pos = {k}").count() for k in (1, 0))
-    counts = each.groupBy("feature").agg(F.sum("is_pos").alias("p"), F.sum(1 - F.col("is_pos")).alias("u"))
-    telling = counts.where((F.col("p") + F.col("u") >= support) & (g_statistic(F.col("p"), n_pos, F.col("u"), n_unl) >= significant)).select("feature")
+    known_ids = F.broadcast(spark.createDataFrame([x for x in ids if x[1]], chosen.schema).select("doc_id", F.lit(True).alias("known")))  # bounded by the first parameter
+    rows = rows.join(known_ids, "doc_id", "left").withColumn("other", (F.col("is_pos") == 0) & F.col("known").isNull())
+    each = rows.select("row", "is_pos", "other", F.explode("features").alias("feature"))
+    n_pos, n_unl = rows.where("is_pos = 1").count(), rows.where("other").count()
+    counts = each.groupBy("feature").agg(F.sum("is_pos").alias("p"), F.count_if("other").alias("u"))
+    common = cut(counts.where(F.col("p") + F.col("u") >= support), "features")
+    # the G statistic of a feature that has nothing to do with toxicity is about the square of a normal number
+    least = NormalDist().inv_cdf(1 - min(0.5, by_chance / max(1, common.count())) / 2) ** 2
+    telling = common.where(g_statistic(F.col("p"), n_pos, F.col("u"), n_unl) >= least).select("feature")
     got = each.join(telling, "feature").groupBy("row").agg(F.collect_list("feature").alias("features"))
-    got = rows.select("row", "doc_id", "is_pos").join(got, "row", "left").orderBy("is_pos", "doc_id", "row").toArrow()
+    fold = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold")), F.lit(FOLDS)).alias("fold")
+    got = rows.select("row", "doc_id", "is_pos", "other", fold).join(got, "row", "left").orderBy("is_pos", "doc_id", "row").toArrow()
     numbers: dict[bytes, int] = {}
     lists = [sorted(x or ()) for x in got.column("features").to_pylist()]
     columns = np.array([numbers.setdefault(f, len(numbers)) for x in lists for f in x], np.int64)
     every, is_pos = Rows(columns, np.array([len(x) for x in lists], np.int64)), got.column("is_pos").to_numpy() == 1
     if not is_pos.any() or is_pos.all() or not numbers:
         return ToxicityModel()
-    sets = every.some(is_pos), every.some(~is_pos)
-    w = fit_nnpu(*sets, len(numbers), prior, decay=chosen_decay(*sets, len(numbers), prior))
+    sets, folds = (every.some(is_pos), every.some(~is_pos)), got.column("fold").to_numpy()
+    confirmed = ~got.column("other").to_numpy(zero_copy_only=False)[~is_pos]
+    decay = chosen_decay(*sets, (folds[is_pos], folds[~is_pos]), confirmed, len(numbers))
+    w = fit_nnpu(*sets, len(numbers), prior, decay=decay)
     return ToxicityModel(float(w[-1]), {f: float(w[i]) for f, i in numbers.items() if abs(w[i]) > 1e-4})
 
 
