@@ -141,6 +141,6 @@ def registered_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql.register(spark)
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     return spark.sql(
-        """SELECT p_partkey, CAST(CAST(decimal_divide(CAST(p_partkey AS DECIMAL(36,18)), CAST(7 AS DECIMAL(36,18))) AS DECIMAL(20,18)) AS STRING) AS seventh, display_width(p_name) AS width,
+        """SELECT p_partkey, CAST(decimal_divide(CAST(p_partkey AS DECIMAL(36,18)), CAST(7 AS DECIMAL(36,18))) AS STRING) AS seventh, display_width(p_name) AS width,
                   CAST(unbase32(base32(CAST(p_name AS BINARY))) AS STRING) AS back FROM {rows}""", rows=rows,
     ).withColumn("seventh", F.regexp_replace(F.regexp_replace("seventh", "[.]", ""), "^0+(?=.)", ""))

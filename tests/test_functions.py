@@ -130,3 +130,12 @@ def test_functions_in_sql(spark):
     sql.register(spark)
     row = spark.sql("SELECT decimal_multiply(CAST(1.5 AS DECIMAL(36, 18)), CAST(3 AS DECIMAL(36, 18))) AS p, decimal_divide(CAST(1 AS DECIMAL(36, 18)), CAST(3 AS DECIMAL(36, 18))) AS q, display_width('a字') AS w, base32(CAST('f' AS BINARY)) AS b").first()
     assert tuple(row) == (Decimal("4.5"), Decimal("0.333333333333333333"), 3, "MY")
+
+
+def test_registered_functions_of_large_keys(spark, tmp_path):
+    from millrace.plans import QUERIES
+
+    keys = [0, 1, 700, 20_000, 10**12 + 1]
+    spark.createDataFrame([(k, "a字") for k in keys], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.p_partkey: r.seventh for r in QUERIES["registered_functions"](spark, str(tmp_path)).collect()}
+    assert got == {k: str(k * 10**18 // 7) for k in keys}
