@@ -75,24 +75,37 @@ def histogram(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _beside(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows with what ``facts`` says of their keys, which may be null; without keys it is one row."""
+    if not keys:
+        return rows.crossJoin(F.broadcast(facts))
+    named = facts.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    return rows.join(named, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]).drop(*[f"_key_{k}" for k in keys])
+
+
 def ranks(df: DataFrame, value: str, at: dict[str, float], keys: Sequence[str] = (), parts: int = 32) -> DataFrame:
     """Exact order statistics of each group at floor(p * count).
 
     They are read off the running counts of the groups' histograms. A group's
-    values are cut into ``parts`` at approximate quantiles, which says only where
-    a part ends; the counts run within a part and over the parts, so no task
-    holds all values of a group.
+    values are cut into ``parts`` at quantiles of about 1000 of them, chosen by
+    their hashes, which says only where a part ends; the counts run within a part
+    and over the parts, so no task holds all values of a group. Two branches
+    meet the cuts, so these must not vary with the order of rows, as those of an
+    approximate percentile do.
     """
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000).alias("_cuts"), F.count(value).alias("_size"))
     counts = histogram(df, value, keys)
-    marked = counts.join(cuts, list(keys)) if keys else counts.crossJoin(F.broadcast(cuts))  # one row
-    cut = marked.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("_size"), F.count(F.lit(1)).alias("_distinct"))
+    chosen = F.when(F.pmod(F.xxhash64(value), F.greatest(F.lit(1).cast("long"), F.expr("_distinct div 1000"))) == 0, F.col(value))
+    sample = _beside(counts, sizes, keys).groupBy(*keys, "_size").agg(F.sort_array(F.collect_list(chosen)).alias("_s"))
+    ends = F.array(*[F.try_element_at("_s", (F.floor(F.size("_s") * i / parts) + 1).cast("int")) for i in range(1, parts)])
+    cuts = sample.select(*keys, "_size", ends.alias("_cuts"))
+    cut = _beside(counts, cuts, keys).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     upto = F.sum("n").over(Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     places = {name: F.floor(F.col("_size") * F.lit(p)) for name, p in at.items()}
     runs = cut.withColumn("_upto", upto)
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = cut.groupBy(*keys, "_part").agg(F.sum("n").alias("_n")).withColumn("_before", before).drop("_n")
-    summed = runs.join(totals, [*keys, "_part"]).withColumn("_upto", F.col("_upto") + F.col("_before"))
+    summed = _beside(runs, totals, [*keys, "_part"]).withColumn("_upto", F.col("_upto") + F.col("_before"))
     return summed.groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") > place, F.col(value))).alias(name) for name, place in places.items()])
 
 

@@ -1,8 +1,10 @@
 """Operators on small fixtures, and against folds that go row by row."""
 
+import os
 import struct
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,3 +278,25 @@ def test_instruments_by_name(spark):
     assert {(r.symbol, r.price) for r in market.quotes(levels, market.lookup(rows, ["A"])).collect()} == {("A", 5)}
     states = spark.createDataFrame([("V", "x", "open", 1), ("V", "x", "closed", 5), ("V", "y", "open", 2)], "venue string, segment string, session string, seq int")
     assert {(r.segment, r.session) for r in market.sessions(states).collect()} == {("x", "closed"), ("y", "open")}
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_ranks_where_rows_come_in_any_order(spark, reuse):
+    """Each reading deals the rows anew, as fetches from many machines do."""
+    rng = np.random.default_rng()
+
+    def dealt(batches):
+        for b in batches:
+            yield b.sample(frac=1, random_state=int(rng.integers(1 << 30)) ^ int.from_bytes(os.urandom(3), "big"))
+
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        rows = spark.range(0, 60_000, 1, 6).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), F.expr("sqrt(id div 2)").alias("v")).mapInPandas(dealt, "k long, v double")
+        got = {r.k: (r.median, r.p95) for r in rolling.ranks(rows, "v", {"median": 0.5, "p95": 0.95}, ["k"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    want = {}
+    for k in range(3):
+        v = sorted((i // 2) ** 0.5 for i in range(60_000) if i % 3 == k)
+        want[k or None] = (v[len(v) // 2], v[int(len(v) * 0.95)])
+    assert got == want
