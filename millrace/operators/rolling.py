@@ -115,12 +115,15 @@ def count_below(df: DataFrame, value: str, probe: Column, keys: Sequence[str] =
 
 
 def intervals(df: DataFrame, begin: str, end: str, keys: Sequence[str] = ()) -> DataFrame:
-    """n, shortest, longest, total and mean of the durations end - begin; noughts where there are none."""
+    """n, shortest, longest, total and mean of the durations end - begin; noughts where there are none.
+
+    The total is DECIMAL(38, 0), as that of many microseconds exceeds BIGINT.
+    """
     took = F.col(end) - F.col(begin)
     nought = lambda c: F.coalesce(c, F.lit(0))
-    return df.groupBy(*keys).agg(
-        F.count(took).alias("n"), nought(F.min(took)).alias("shortest"), nought(F.max(took)).alias("longest"), nought(F.sum(took)).alias("total"), nought(F.avg(took)).alias("mean")
-    )
+    total = F.sum(took.cast("decimal(19,0)")).cast("decimal(38,0)")
+    mean = F.coalesce(total.cast("double") / F.nullif(F.count(took), F.lit(0).cast("long")), F.lit(0.0))
+    return df.groupBy(*keys).agg(F.count(took).alias("n"), nought(F.min(took)).alias("shortest"), nought(F.max(took)).alias("longest"), nought(total).alias("total"), mean.alias("mean"))
 
 
 def value_window(df: DataFrame, at: str, value: str, length: int, interval: int, keys: Sequence[str] = (), late: str | None = None) -> DataFrame:

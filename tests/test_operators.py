@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import keyed, market, orders, rolling, sequence, series
-from millrace.plans import market_queries
+from millrace.plans import QUERIES, market_queries
 from millrace.sources import tables
 from millrace.spec import KeySpec, TableSpec
 
@@ -300,3 +300,17 @@ def test_ranks_where_rows_come_in_any_order(spark, reuse):
         v = sorted((i // 2) ** 0.5 for i in range(60_000) if i % 3 == k)
         want[k or None] = (v[len(v) // 2], v[int(len(v) * 0.95)])
     assert got == want
+
+
+def test_intervals_over_a_long_total(spark):
+    rows = spark.createDataFrame([("a", 0, 1 << 62), ("a", 1, 1 << 62), ("a", 2, 1 << 62), ("b", 5, None)], "k string, b long, e long")
+    got = {r.k: tuple(r)[1:] for r in rolling.intervals(rows, "b", "e", ["k"]).collect()}
+    total = 3 * (1 << 62) - 3
+    assert got == {"a": (3, (1 << 62) - 2, 1 << 62, total, total / 3), "b": (0, 0, 0, 0, 0.0)}
+
+
+def test_interval_stats_over_a_long_total(spark, tmp_path):
+    spark.sql("SELECT id AS o_orderkey, timestamp'0001-01-01' AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range(100)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT id AS l_orderkey, timestamp'9999-01-01' AS l_shipdate FROM range(100)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    row = QUERIES["interval_stats"](spark, str(tmp_path)).first()
+    assert (row.n, row.total, row.mean) == (100, None, row.longest)
