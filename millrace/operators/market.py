@@ -282,15 +282,18 @@ def match(orders: DataFrame, aggressors: DataFrame, keys: Sequence[str] = BOOK,
     begin = F.coalesce(F.lag("_z._ends").over(Window.partitionBy(*at).orderBy("_n")), F.lit(0.0))
     kind = orders.schema["qty"].dataType
     took = done.select(*at, "_n", F.col("_z._turns").alias("_turn"), F.col("_z._ends").alias("_end"), (F.col("_z._ends") - begin).alias("_took"))
-    # the queue's and the turns' ends cut the queue; each cut goes to the order and the turn that end next
+    # the queue's and the turns' ends cut the queue's front; each cut goes to the order and the turn that end next
     rows = F.struct("order_id", "price", "qty", F.col("_cum").alias("cum"))
     none = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
-    queue = summed.select(*at, F.col("_cum").cast("double").alias("_end"), rows.alias("_row"))
     taken = took.where("_took > 0").select(*at, "_end", F.struct("_turn").alias("_taker"))
+    fronts = taken.groupBy(*at).agg(F.max("_end").alias("_front"))
+    front = summed.where("qty > 0").join(fronts, at).where(F.col("_cum") - F.col("qty") < F.col("_front"))
+    queue = front.select(*at, F.col("_cum").cast("double").alias("_end"), rows.alias("_row"))
     cuts = queue.withColumn("_taker", none(taken, "_taker")).unionByName(taken.withColumn("_row", none(queue, "_row")))
-    next_ = Window.partitionBy(*at).orderBy("_end").rangeBetween(0, Window.unboundedFollowing)
+    # from the back, as a frame that begins with its row is read anew for each row
+    next_ = Window.partitionBy(*at).orderBy(F.col("_end").desc()).rangeBetween(Window.unboundedPreceding, 0)
     size = F.col("_end") - F.coalesce(F.lag("_end").over(Window.partitionBy(*at).orderBy("_end")), F.lit(0.0))
-    found = cuts.select(*at, F.first("_row", ignorenulls=True).over(next_).alias("_row"), F.first("_taker", ignorenulls=True).over(next_).alias("_taker"), F.col("_end"), size.alias("_size"))
+    found = cuts.select(*at, F.last("_row", ignorenulls=True).over(next_).alias("_row"), F.last("_taker", ignorenulls=True).over(next_).alias("_taker"), F.col("_end"), size.alias("_size"))
     fill = found.where("_size > 0 and _taker is not null and _row is not null")
     fills = fill.select(
         *at, "_row.order_id", "_row.price", F.col("_size").cast(kind).alias("fill"), (F.col("_row.cum") - F.col("_end")).cast(kind).alias("rest"), *([F.col("_taker._turn.t").alias(seq)] if seq else [])

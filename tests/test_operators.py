@@ -314,3 +314,11 @@ def test_interval_stats_over_a_long_total(spark, tmp_path):
     spark.sql("SELECT id AS l_orderkey, timestamp'9999-01-01' AS l_shipdate FROM range(100)").write.parquet(f"{tmp_path}/lineitem.parquet")
     row = QUERIES["interval_stats"](spark, str(tmp_path)).first()
     assert (row.n, row.total, row.mean) == (100, None, row.longest)
+
+
+def test_match_reads_no_frame_anew_for_each_row(spark):
+    resting = spark.range(50_000).select(F.lit("b").alias("book"), F.lit("S").alias("side"), F.col("id").alias("order_id"), F.lit(9).alias("price"), (F.col("id") % 2).alias("qty"), F.lit(None).cast("int").alias("rank"), F.col("id").alias("since"))
+    fills, leaves = market.match(resting, spark.createDataFrame([("b", "B", 20_000, None)], "book string, side string, qty long, price int"))
+    assert "unboundedfollowing" not in fills._jdf.queryExecution().executedPlan().toString().lower()
+    assert sorted((r.order_id, r.fill, r.rest) for r in fills.collect()) == [(i, 1, 0) for i in range(1, 40_000, 2)]
+    assert leaves.first().left == 0
