@@ -29,9 +29,14 @@ def _best(points: str, doc_id: str, *more: str) -> Column:
 
 
 class DigestIndex:
-    """Digests seen so far, in the bucketed and sorted tables ``table`` and ``table`` + _more."""
+    """Digests seen so far, in the bucketed and sorted tables ``table`` and ``table`` + _more.
 
-    def __init__(self, spark: SparkSession, table: str, buckets: int = 64):
+    A task writes one file a bucket, one in all where rows are dealt to as many
+    tasks as there are buckets; so fewer buckets than a session's least number
+    of tasks would mean many small files.
+    """
+
+    def __init__(self, spark: SparkSession, table: str, buckets: int = 256):
         self.spark, self.table, self.more, self.buckets = spark, table, f"{table}_more", buckets
 
     def exists(self) -> bool:
@@ -59,8 +64,9 @@ class DigestIndex:
         groups = cut(best.select("digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.less")).alias("keep_points"), "copies", *[F.col(f"best.{c}").alias("keep_row") for c in own]), "groups")
         entries = groups.drop("keep_row")
         if not self.exists():
-            for table in (self.table, self.more):
-                self._append(entries.limit(0), table)
+            self._append(entries, self.table)
+            self._append(entries.limit(0), self.more)
+            return groups, groups
         fresh = cut(groups.join(self.read().hint("merge"), "digest", "left_anti"), "fresh")
         self._append(groups.join(fresh, "digest", "left_anti").select(*entries.columns), self.more)
         self._append(fresh.select(*entries.columns), self.table)

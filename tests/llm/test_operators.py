@@ -325,3 +325,11 @@ def test_toxicity_scores_against_brute_force(spark, texts):
     for r in toxicity.score(docs, model).collect():
         z = model.bias + sum(model.weights.get(f, 0.0) for f in brute_features(texts[r.doc_id]))
         assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9 and r.predicted == (r.score >= 0.7)
+
+
+def test_digest_index_has_a_bucket_for_each_task(spark):
+    index = exact_dedup.DigestIndex(spark, f"d_{uuid.uuid4().hex}")
+    assert index.buckets >= 211  # sessions that deal keys to 211 tasks at least
+    index.append(spark.range(3000).selectExpr("id AS doc_id", "string(id) AS text"))
+    files = spark.table(index.table).inputFiles()
+    assert index.read().count() == 3000 and len(files) == index.buckets and not spark.table(index.more).inputFiles()
