@@ -298,9 +298,12 @@ def decimal_sum_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH d AS (SELECT DISTINCT CAST(round(l_extendedprice * 100) AS HUGEINT) AS p, CAST(l_quantity AS HUGEINT) AS q FROM lineitem)
 SELECT CAST(p AS BIGINT) AS p, CAST(q AS BIGINT) AS q, CAST(p * q AS DOUBLE) / 100 AS product, CAST((p * 10000000000000000) // q AS VARCHAR) AS quotient_mantissa, CAST(p // 100 AS BIGINT) AS whole FROM d""")
 def decimal_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(F.round("l_extendedprice", 2).cast(decimals.KIND).alias("p"), F.col("l_quantity").cast(decimals.KIND).alias("q")).distinct()
-    quotient = F.regexp_replace(F.regexp_replace(decimals.divide(F.col("p"), F.col("q")).cast("string"), r"\.", ""), "^0+(?=.)", "")
-    return rows.select((F.col("p") * 100).cast("long").alias("p"), F.col("q").cast("long").alias("q"), decimals.multiply(F.col("p"), F.col("q")).cast("double").alias("product"), quotient.alias("quotient_mantissa"), decimals.floor(F.col("p")).cast("long").alias("whole"))
+    """Pairs are made distinct as doubles, which are smaller to shuffle and compare than decimals."""
+    pairs = table(spark, sf_dir, "lineitem").select(F.round("l_extendedprice", 2).alias("p"), F.rint("l_quantity").alias("q")).distinct()
+    rows = pairs.select(F.col("p").cast(decimals.KIND).alias("p"), F.col("q").cast("long").alias("q"))
+    digits = F.translate(decimals.divide_whole(F.col("p"), F.col("q")).cast("string"), ".", "")
+    product = decimals.multiply(F.col("p"), F.col("q").cast(decimals.KIND)).cast("double")
+    return rows.select((F.col("p") * 100).cast("long").alias("p"), "q", product.alias("product"), F.regexp_replace(digits, "^0+(?=.)", "").alias("quotient_mantissa"), decimals.floor(F.col("p")).cast("long").alias("whole"))
 
 
 @query("""

@@ -4,12 +4,13 @@ import os
 import struct
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import keyed, market, orders, rolling, sequence, series
-from millrace.plans import QUERIES, market_queries
+from millrace.plans import QUERIES, SQL, market_queries
 from millrace.sources import tables
 from millrace.spec import KeySpec, TableSpec
 
@@ -322,3 +323,11 @@ def test_match_reads_no_frame_anew_for_each_row(spark):
     assert "unboundedfollowing" not in fills._jdf.queryExecution().executedPlan().toString().lower()
     assert sorted((r.order_id, r.fill, r.rest) for r in fills.collect()) == [(i, 1, 0) for i in range(1, 40_000, 2)]
     assert leaves.first().left == 0
+
+
+def test_decimal_arithmetic_rounds_quantities_as_its_sql(spark, tmp_path):
+    spark.sql("SELECT double(p) AS l_extendedprice, double(q) AS l_quantity FROM VALUES (10.01, 2.5), (10.01, 2), (7.5, 3.5), (0.03, 7) AS t(p, q)").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = QUERIES["decimal_arithmetic"](spark, str(tmp_path)).select("p", "q", "product", "quotient_mantissa", "whole")
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(SQL["decimal_arithmetic"]).fetchall())
