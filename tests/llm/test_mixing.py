@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import mixing, queries
@@ -211,3 +212,49 @@ def test_a_newton_step_lowers_the_cost():
     better = mixing.improved(weights, mixing.slopes(weights, bits, np.ones(1)))
     loss = lambda w: np.log1p(np.exp(-mixing.mixed_guess(w, bits))).sum()
     assert loss(better) < loss(weights)
+
+
+def test_recurring_letters_are_guessed_once(monkeypatch):
+    """A word costs what its bits cost, and the work of a batch grows with its distinct letters in context, not with all."""
+    rng = np.random.default_rng(4)
+    words = list({bytes(rng.choice([97, 98, 195], size=n).astype(np.uint8)) for n in rng.integers(1, 12, 3000)})
+    seen = np.arange(len(words)) % 3 > 0
+    model = mixing.Spelling(np.ones(256, np.int64))
+    model.counts = rng.integers(0, 4, len(model.counts))
+    whole = model.bits(words, seen)
+    expected, guessed = mixing.cost(model.weights, whole, len(words)), []
+    monkeypatch.setattr(mixing, "cost", lambda weights, bits, n, cost=mixing.cost: guessed.append(len(bits.owner)) or cost(weights, bits, n))
+    assert np.allclose(model.cost(words, seen), expected, rtol=1e-12)
+    assert sum(guessed) < len(whole.owner) / 20
+
+
+@pytest.mark.parametrize("size", [1, 30, 1 << 20])
+def test_words_of_a_batch(size):
+    """Words are split as bytes.split splits them, whatever the bytes and however many rows are taken at a time."""
+    texts = ["a b A c\n\td a b", "", " \n", "É 字  x ", "z\x00y \x1c\x1d", "\x0b\x0cq\r\nA B c\x85", "x" * 100]
+    batch = pa.record_batch({"raw": pa.array([t.encode() for t in texts], pa.binary())})
+    got = []
+    for rows, words, sizes in mixing.words_of(batch, size):
+        assert len(rows) == len(sizes) and (size > 1 or len(rows) <= 1 + 2)  # empty texts join others
+        ends = np.cumsum(sizes)
+        got += [words.to_pylist()[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+    assert got == [mixing_words(t.encode()) for t in texts]
+
+
+def mixing_words(raw):
+    return raw.translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))).split()
+
+
+def test_columns_squeezed():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 300):
+        columns = np.zeros(n, np.uint32), rng.integers(0, 1 << 19, n).astype(np.uint32), rng.integers(0, 1 << 32, n).astype(np.uint32) & np.uint32(0xFF00FF00), np.arange(n).astype(np.uint16)
+        back = mixing.unsqueezed(mixing.squeezed(*columns), np.uint32, np.uint32, np.uint32, np.uint16)
+        assert all(np.array_equal(a, b) for a, b in zip(columns, back, strict=True))
+
+
+def test_by_range():
+    rng = np.random.default_rng(6)
+    for most in (5, 1 << 16, 1 << 20):
+        to = rng.integers(0, most, 5000)
+        assert np.array_equal(mixing.by_range(to), np.argsort(to, kind="stable"))
