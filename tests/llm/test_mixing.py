@@ -258,3 +258,21 @@ def test_by_range():
     for most in (5, 1 << 16, 1 << 20):
         to = rng.integers(0, most, 5000)
         assert np.array_equal(mixing.by_range(to), np.argsort(to, kind="stable"))
+
+
+def test_ranges_asked_together(spark, monkeypatch):
+    """With many ranges a block sends a message to a group of them, not to each, and gets the same answers."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    monkeypatch.setattr(mixing, "RANGE", 1 << 12)
+    apart = {r.doc_id: r.score for r in mixing.score(docs, block=1 << 14).collect()}
+    rng = np.random.default_rng(1)
+    b, keys = book(), np.unique(rng.integers(0, 4, 3000) << 2 * mixing.WORD_BITS | rng.integers(0, 4, 3000) << mixing.WORD_BITS | rng.integers(0, 5, 3000))
+    one = [(to, *mixing.question(x)) for to, x in mixing.questions(b, keys, 40)]
+    monkeypatch.setattr(mixing, "APART", 10)
+    few = [(to, *mixing.question(x)) for to, x in mixing.questions(b, keys, 40)]
+    assert mixing.grouped(40) == 4 and len(few) <= 10 < len(one)
+    assert np.array_equal(np.concatenate([k for _, k, _ in one]), np.concatenate([k for _, k, _ in few]))
+    assert [to // 4 for to, k, _ in one for _ in k] == [to for to, k, _ in few for _ in k]
+    together = {r.doc_id: r.score for r in mixing.score(docs, block=1 << 14).collect()}
+    assert apart.keys() == together.keys()
+    assert all(abs(apart[i] - together[i]) < 1e-9 * abs(apart[i]) for i in apart)
